@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+def fold(text: Column) -> Column:
+    """``text`` without case; by way of upper case, so that letters with a longer one, as ß, meet it."""
+    return F.lower(F.upper(text))
+
+
 def words(text: Column) -> Column:
     """The maximal runs of letters and digits of ``text`` in order, without case; null gives null."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(F.split(fold(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def letters_digits(text: Column) -> Column:
     """The letters and digits of ``text`` in order, without case."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
+    return F.regexp_replace(fold(text), r"[^\p{L}\p{N}]+", "")
 
 
 def plain(text: Column) -> Column:
