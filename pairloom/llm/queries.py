@@ -119,8 +119,8 @@ def p8_mixture(spark: SparkSession, root: str) -> DataFrame:
 
 def p8_shares(spark: SparkSession, root: str) -> DataFrame:
     report = _mix(spark, root)[1]
-    whole = report.agg(F.sum("mixed_tokens").alias("whole"))
-    return report.join(F.broadcast(whole)).withColumn("share", F.try_divide(F.col("mixed_tokens"), F.col("whole"))).drop("whole")
+    whole = report.agg(F.sum("mixed_tokens").alias("whole")).first()["whole"]
+    return report.withColumn("share", F.try_divide(F.col("mixed_tokens"), F.lit(whole)))
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:

@@ -92,15 +92,14 @@ def quota_cells(records: DataFrame, targets: DataFrame, by: list[str], share: in
     and hold no records; of repeated target rows the one with the greatest need counts.
     """
     sizes = materialize(records.groupBy(*by).agg(F.count("*").alias("records")), "cells")
-    total = sizes.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n"))
+    total = sizes.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n")).first()["n"] // share
     aim = targets.groupBy(*by).agg(F.max(permille).cast("bigint").alias("permille"), F.max(floor).cast("bigint").alias("floor"))
     return (
         aim.join(sizes, by, "left")
-        .join(F.broadcast(total))
         .select(
             *by,
             F.coalesce("records", F.lit(0)).alias("records"),
-            F.expr(f"greatest(floor, ((n div {share}) * permille) div 1000)").alias("need"),
+            F.expr(f"greatest(floor, ({total}L * permille) div 1000)").alias("need"),
         )
         .withColumn("shortfall", F.expr("greatest(need - records, 0)"))
     )
