@@ -24,9 +24,14 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda t: t != "")
 
 
+def strip(text: Column) -> Column:
+    """``text`` without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
 def format_caption(text: Column) -> Column:
-    """Trimmed, first letter in upper case, a full stop at the end. An empty caption stays empty."""
-    t = F.trim(text)
+    """Stripped, first letter in upper case, a full stop at the end. An empty caption stays empty."""
+    t = strip(text)
     head = F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 30))
     return F.when(t == "", t).when(F.endswith(t, F.lit(".")), head).otherwise(F.concat(head, F.lit(".")))
 

@@ -1,30 +1,18 @@
-"""Queries of the core operators and the SQL that states them for checking."""
+"""All core queries and the SQL that states them for checking."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pairloom.query_sets import QUERIES, SQL, Query
 
-from pairloom.plans import annotations
-from pairloom.sources.tables import table
+for _name in ("evaluation", "nested", "building", "scalars", "sources"):
+    importlib.import_module(f"pairloom.query_sets.{_name}")
 
 
-def p6_found(spark: SparkSession, root: str) -> DataFrame:
-    return annotations.child_rows(table(spark, root, "samples"), table(spark, root, "annotation_files"))
-
-
-def p6_questions(spark: SparkSession, root: str) -> DataFrame:
-    return annotations.flat_tables(table(spark, root, "samples"), table(spark, root, "annotation_files"))["questions"]
-
-
-def p6_scores(spark: SparkSession, root: str) -> DataFrame:
-    return annotations.flat_tables(table(spark, root, "samples"), table(spark, root, "annotation_files"))["scores"]
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_found, p6_questions, p6_scores)}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
