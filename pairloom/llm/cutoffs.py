@@ -32,11 +32,13 @@ def fraction_cutoffs(records: DataFrame, targets: DataFrame, by: list[str], scor
     records with a score of c or more are at least that percentage), ``kept`` (their number) and
     ``ties`` (those at the cutoff). A group without scores or with a percentage of zero has a null
     cutoff and keeps nothing. Null and NaN scores are no scores; null group values match nothing;
-    records of groups without a target are left out.
+    records of groups without a target are left
+    out; of repeated targets the greatest percentage counts.
     """
-    aim = targets.select(*by, F.col(percent).cast("bigint").alias("percent")).dropDuplicates(by)
+    aim = targets.groupBy(*by).agg(F.max(percent).cast("bigint").alias("percent"))
     clean = records.filter(F.col(score).isNotNull() & ~F.isnan(score)).withColumnRenamed(score, "__v")
-    scored = materialize(spread_join(clean, aim, by, F.col("__v"), "inner"), "scored")
+    kept_columns = materialize(spread_join(clean, aim.select(*by), by, F.col("__v"), "left_semi"), "scored")
+    scored = kept_columns.select(*by, "__v")  # the passes below read no more, so other columns can't clash
 
     sizes = scored.groupBy(*by).agg(F.count("*").alias("records"))
     aim = aim.join(sizes, by, "left").fillna(0, ["records"])
@@ -73,7 +75,7 @@ def fraction_cutoffs(records: DataFrame, targets: DataFrame, by: list[str], scor
         aim.join(steps, by, "left").select(*by, "percent", "records", "cutoff", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("ties", F.lit(0)).alias("ties")),
         "cutoffs",
     )
-    return cutoffs, scored.withColumnRenamed("__v", score)
+    return cutoffs, kept_columns.withColumnRenamed("__v", score)
 
 
 def _narrow(scored: DataFrame, brackets: DataFrame, by: list[str], margin: int) -> DataFrame:
@@ -105,5 +107,5 @@ def _narrow(scored: DataFrame, brackets: DataFrame, by: list[str], margin: int)
 
 def kept_rows(scored: DataFrame, cutoffs: DataFrame, by: list[str], score: str = "score") -> DataFrame:
     """The scored records at or above the cutoff of their group."""
-    limits = cutoffs.filter("cutoff is not null").select(*by, "cutoff")
-    return spread_join(scored, limits, by, F.col(score)).filter(F.col(score) >= F.col("cutoff"))
+    limits = cutoffs.filter("cutoff is not null").select(*by, F.col("cutoff").alias("__cutoff"))
+    return spread_join(scored, limits, by, F.col(score)).filter(F.col(score) >= F.col("__cutoff")).drop("__cutoff")

@@ -109,12 +109,12 @@ SLOT = re.compile(
 )
 _CODE = re.compile(r"```.*?```|`[^`\n]*`", re.S)
 _QUOTED_SLOT = re.compile(r"(?<![:=(,\[{]\s)(?<![:=(,\[{])[\"“„«]\s*(\S[^\"”“»\n]{0,60}\S)\s*[\"”“»]")
-_QUOTE = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»")
+_QUOTE = re.compile(r"\"[^\"\n]{0,500}\"|“[^”\n]{0,500}”|„[^“”\n]{0,500}[“”]|«[^»\n]{0,500}»")
 _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _STRETCH = re.compile(r"[\n\r]+|(?<=[.!?…;])\s+")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 _STATUS = re.compile(r"^\W*(?:(?:http(?:/\d(?:\.\d)?)?|error|fehler|erreur|status|code)\W*)*[1-5]\d\d\b(?=\W|$)")
-_LOG = re.compile(r"^\W*(?:\[[^\]]*\]\s*)?(?:warn(?:ing)?|error|fatal|critical|panic|exception)\b|\b[\w.]*(?:error|exception)(?::| at\b| in\b)|^\s*file \"[^\"]+\", line \d+|^\s*null\W*$|^\s*nan\W*$|errno \d+")
+_LOG = re.compile(r"^\W*(?:\[[^\]]*\]\s*)?(?:warn(?:ing)?|error|fatal|critical|panic|exception)\b|\b[\w.]{0,80}(?:error|exception)(?::| at\b| in\b)|^\s*file \"[^\"]+\", line \d+|^\s*null\W*$|^\s*nan\W*$|errno \d+")
 _JAVA = re.compile(r"java[ -]script")
 _HTML_ERROR = re.compile(r"<title>\s*(?:error\s*)?[1-5]\d\d\b[^<]*</title>")
 _JSON_ERROR = re.compile(r"^\W*(?:\[[^\]]*\]\s*)?\{\s*\"(?:error|errors|fault|exception)\"\s*:")
