@@ -47,7 +47,7 @@ def stratified_quota(rows: DataFrame, category: str, sub: str, caps: dict[str, i
     for value, n in caps.items():
         cap = F.when(F.col(category) == value, F.lit(n)).otherwise(cap)
     capped = rows.withColumn("__cap", cap).filter("__cap is not null")
-    counts = capped.groupBy(category, sub).agg(F.first("__cap").alias("c")).groupBy(category).agg(F.count("*").alias("__subs"))
+    counts = capped.groupBy(category, sub).agg(F.first("__cap").alias("__c")).groupBy(category).agg(F.count("*").alias("__subs"))
     fair = F.greatest(F.lit(1), F.floor(F.col("__cap") / F.col("__subs")))
     most = max([*caps.values(), default or 1])
     first = Window.partitionBy(category, sub).orderBy(*order)

@@ -34,8 +34,8 @@ def child_rows(samples: DataFrame, files: DataFrame) -> DataFrame:
         step(2).alias("image_key"),
         step(3).alias("question"),
     )
-    negatives = array_children(samples, "sample_id", "negatives").select(
-        F.lit("samples").alias("parent_table"), F.col("sample_id").alias("parent_id"), F.lit("negative").alias("level"), "pos", F.lit("").alias("image_key"), F.lit("").alias("question")
+    negatives = samples.select("sample_id", F.posexplode("negatives").alias("__pos", "__n")).filter("__n is not null").select(
+        F.lit("samples").alias("parent_table"), F.col("sample_id").alias("parent_id"), F.lit("negative").alias("level"), F.col("__pos").alias("pos"), F.lit("").alias("image_key"), F.lit("").alias("question")
     )
     return negatives.unionByName(below)
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,26 @@ def build_session(app: str = "pairloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let the session's Python workers import this package, wherever the driver found it; once per session.
+
+    The driver serves the archive to the executors, which keep their own copies.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_pairloom_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="pairloom-"), "pairloom.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in sorted(os.walk(home)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("pairloom", os.path.relpath(path, home)))
+    context.addPyFile(archive)
+    context._pairloom_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
