@@ -48,6 +48,11 @@ _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--[^>]*-->")
 _WORD = re.compile(r"[^\W_]+")
 
 
+def _objects(values: list) -> pd.Series:
+    """A column of strings, bytes or arrays, typed even where it is empty."""
+    return pd.Series(values, dtype=object)
+
+
 def clean_words(text: str | None) -> list[str]:
     """Words of a text without markup, character references, invisible characters and compatibility forms."""
     if not text:
@@ -78,7 +83,8 @@ def _tokens(key: str, text: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             words = [clean_words(x) for x in b[text]]
-            yield pd.DataFrame({key: b[key], "norm": [" ".join(w) for w in words], "t": [np.fromiter(map(_term, w), np.int32, len(w)) for w in words]})
+            out = {"norm": _objects([" ".join(w) for w in words]), "t": _objects([np.fromiter(map(_term, w), np.int32, len(w)) for w in words])}
+            yield pd.DataFrame({key: b[key].reset_index(drop=True)} | out)
 
     return run
 
@@ -151,7 +157,7 @@ def _range_pass(idf: np.ndarray):
                 terms, first = np.unique(words[order], return_index=True)
                 total[terms] += np.add.reduceat(y[of[order]], first, axis=0)
         at = np.flatnonzero(np.abs(total).sum(1))
-        yield pd.DataFrame({"term": at.astype(np.int32), "v": [x.tobytes() for x in total[at] * idf[at, None]]})
+        yield pd.DataFrame({"term": at.astype(np.int32), "v": _objects([x.tobytes() for x in total[at] * idf[at, None]])})
 
     return run
 
@@ -162,7 +168,7 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for term, v in zip(b["term"], b["v"]):
             v = np.frombuffer(v, np.float32)
             total[term] = total[term] + v if term in total else v
-    yield pd.DataFrame({"term": np.array(list(total), np.int32), "v": [x.tobytes() for x in total.values()]})
+    yield pd.DataFrame({"term": np.array(list(total), np.int32), "v": _objects([x.tobytes() for x in total.values()])})
 
 
 def _gram_pass(idf: np.ndarray, q: np.ndarray):
@@ -289,7 +295,7 @@ def leaked(index: LatentIndex, items: list[tuple[str, str]], run: int = STEP) ->
                         text = tuple(split[row][inner : inner + run])
                         found.update((row, n) for seq, w, s in runs[int(h[i])] if seq == text and cosine[p, w] >= least for n in names[s])
             rows = [r for r, _ in found]
-            yield pd.DataFrame({key: b[key].iloc[rows].to_numpy(), "item": [n for _, n in found]})
+            yield pd.DataFrame({key: b[key].iloc[rows].to_numpy(), "item": _objects([n for _, n in found])})
 
     kind = f"{key} {index.tokens.schema[key].dataType.simpleString()}, item string"
     return index.tokens.mapInPandas(search, kind)
@@ -361,6 +367,6 @@ def paraphrased(index: LatentIndex, items: list[tuple[str, str]], min_cosine: fl
                         if permille >= 1000 * share:
                             best[row, name] = max(permille, best.get((row, name), 0))
             rows = [r for r, _ in best]
-            yield pd.DataFrame({key: b[key].iloc[rows].to_numpy(), "item": [n for _, n in best], "lcs_permille": np.array(list(best.values()), np.int32)})
+            yield pd.DataFrame({key: b[key].iloc[rows].to_numpy(), "item": _objects([n for _, n in best]), "lcs_permille": np.array(list(best.values()), np.int32)})
 
     return index.tokens.mapInPandas(search, kind).groupBy(key, "item").agg(F.max("lcs_permille").alias("lcs_permille"))

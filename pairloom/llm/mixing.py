@@ -48,7 +48,7 @@ def token_counts(docs: DataFrame, text: str, keep: list[str], ranks: str = RANKS
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             encode = _encoder(lines.value, pattern).encode_ordinary
-            yield b[keep].assign(tokens=[len(encode(x)) if x else 0 for x in b[text]])
+            yield b[keep].assign(tokens=pd.Series([len(encode(x)) if x else 0 for x in b[text]], index=b.index, dtype="int64"))
 
     schema = docs.select(*keep).schema.add("tokens", "long")
     return docs.select(*keep, text).mapInPandas(run, schema)
