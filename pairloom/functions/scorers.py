@@ -76,7 +76,7 @@ def generate(prompts: DataFrame, key: str, prompt: str, name: str, sequences: in
         for b in batches:
             b = b[b[prompt].notna()]
             rows = [(k, s, f(p, s)) for k, p in zip(b[key], b[prompt]) for s in range(sequences)]
-            yield pd.DataFrame(rows, columns=[key, "sequence", "output"])
+            yield pd.DataFrame(rows, columns=[key, "sequence", "output"], dtype=object if not rows else None)
 
     kind = prompts.schema[key].dataType.simpleString()
     return prompts.select(key, prompt).mapInPandas(run, f"{key} {kind}, sequence int, output string")

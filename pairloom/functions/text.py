@@ -6,8 +6,8 @@ from pyspark.sql import Column, functions as F
 
 
 def fold(text: Column) -> Column:
-    """``text`` without case; by way of upper case, so that letters with a longer one, as ß, meet it."""
-    return F.lower(F.upper(text))
+    """``text`` without case: in upper case, in which letters with a longer one, as ß, meet it too."""
+    return F.upper(text)
 
 
 def words(text: Column) -> Column:
