@@ -37,7 +37,7 @@ def fraction_cutoffs(records: DataFrame, targets: DataFrame, by: list[str], scor
     """
     aim = targets.groupBy(*by).agg(F.max(percent).cast("bigint").alias("percent"))
     clean = records.filter(F.col(score).isNotNull() & ~F.isnan(score)).withColumnRenamed(score, "__v")
-    kept_columns = materialize(spread_join(clean, aim.select(*by), by, F.col("__v"), "left_semi"), "scored")
+    kept_columns = materialize(spread_join(clean, aim.select(*by), by, "left_semi"), "scored")
     scored = kept_columns.select(*by, "__v")  # the passes below read no more, so other columns can't clash
 
     sizes = scored.groupBy(*by).agg(F.count("*").alias("records"))
@@ -63,7 +63,7 @@ def fraction_cutoffs(records: DataFrame, targets: DataFrame, by: list[str], scor
         closed = closed.unionByName(open_)
 
     steps = (
-        spread_join(scored, closed, by, F.col("__v"))
+        spread_join(scored, closed, by)
         .filter("__v between lo and hi")
         .groupBy(*by, "__v")
         .agg(F.count("*").alias("ties"), F.first("above").alias("above"), F.first("need").alias("need"))
@@ -80,7 +80,7 @@ def fraction_cutoffs(records: DataFrame, targets: DataFrame, by: list[str], scor
 
 def _narrow(scored: DataFrame, brackets: DataFrame, by: list[str], margin: int) -> DataFrame:
     """A narrower bracket for each group, its counts, and whether they prove that it holds the cutoff."""
-    inside = spread_join(scored, brackets, by, F.col("__v")).filter("__v between lo and hi")
+    inside = spread_join(scored, brackets, by).filter("__v between lo and hi")
     ranks = ",".join(f"{i / GRID}D" for i in range(GRID + 1))
     sketch = inside.groupBy(*by).agg(F.expr(f"kll_sketch_agg_double(__v, {SKETCH_K})").alias("s"), *(F.first(c).alias(c) for c in ("need", "lo", "hi", "above", "inside")))
     # Rank from below of the wanted row among those inside the bracket.
@@ -97,7 +97,7 @@ def _narrow(scored: DataFrame, brackets: DataFrame, by: list[str], margin: int)
         ),
         "sketch",
     )
-    counted = spread_join(scored, bracket, by, F.col("__v")).groupBy(*by).agg(
+    counted = spread_join(scored, bracket, by).groupBy(*by).agg(
         *(F.first(c).alias(c) for c in ("need", "lo", "hi")),
         F.count_if(F.col("__v") > F.col("hi")).alias("above"),
         F.count_if(F.expr("__v between lo and hi")).alias("inside"),
@@ -108,4 +108,4 @@ def _narrow(scored: DataFrame, brackets: DataFrame, by: list[str], margin: int)
 def kept_rows(scored: DataFrame, cutoffs: DataFrame, by: list[str], score: str = "score") -> DataFrame:
     """The scored records at or above the cutoff of their group."""
     limits = cutoffs.filter("cutoff is not null").select(*by, F.col("cutoff").alias("__cutoff"))
-    return spread_join(scored, limits, by, F.col(score)).filter(F.col(score) >= F.col("__cutoff")).drop("__cutoff")
+    return spread_join(scored, limits, by).filter(F.col(score) >= F.col("__cutoff")).drop("__cutoff")

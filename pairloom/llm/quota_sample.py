@@ -124,7 +124,7 @@ def quota_sample(records: DataFrame, cells: DataFrame, by: list[str], key: str,
     plan = spark.createDataFrame([tuple(x) for x in known[[*by, "__p", "__cell", "__blocks"]].astype(object).to_numpy().tolist()], schema)
 
     drawn = materialize(
-        spread_join(records.select(key, *by), plan, by, F.col(key)).select(
+        spread_join(records.select(key, *by), plan, by).select(
             F.col(key).alias("__id"), *by, "__cell", "__p", "__blocks", F.xxhash64(F.lit(seed), F.col(key).cast("string")).alias("__h")
         ),
         "drawn",
@@ -143,4 +143,4 @@ def quota_sample(records: DataFrame, cells: DataFrame, by: list[str], key: str,
         # Each block leaves one undecided record at most; these meet in fewer blocks.
         blocks = -(-blocks // width)
         part = out.filter("__p < 1").withColumn("__b", F.pmod(F.xxhash64("__h"), F.lit(blocks)))
-    return spread_join(taken, plan.select("__cell", *by), ["__cell"], F.col("__id")).select(F.col("__id").alias(key), *by)
+    return spread_join(taken, plan.select("__cell", *by), ["__cell"]).select(F.col("__id").alias(key), *by)
