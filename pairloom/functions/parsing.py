@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from pairloom.functions.captions import PUNCTUATION
+from pairloom.functions.captions import PUNCTUATION, strip, within_edits
 
 # The formats in which edits, questions and layouts are written.
 EDIT = r'(?d)\{\s*"InputCaption": "(.*?)",\s*"SelectedPhrase": "(.*?)",\s*"EditedPhrase": "(.*?)",\s*"EditedRegionPhrase": "(.*?)",\s*"EditedCaption": "(.*?)",\s*"Category": "(.*?)"\s*\}'
@@ -14,15 +14,15 @@ LAYOUT = r"(?s)(?:\d+\.\s)?Input: (.*?), Bounding boxes: (\[.*?\]), Background p
 
 
 def find_all(text: Column, pattern: str, names: list[str]) -> Column:
-    """All matches of a pattern, one struct per match with a trimmed field per group."""
-    groups = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)) for i in range(len(names))]
-    return F.transform(F.arrays_zip(*[g.alias(n) for g, n in zip(groups, names)]), lambda m: F.struct(*[F.trim(m[n]).alias(n) for n in names]))
+    """All matches of a pattern, one struct per match with a trimmed field per group. The text is searched once, the groups are read from each match."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.transform(whole, lambda m: F.struct(*[strip(F.regexp_extract(m, pattern, i + 1)).alias(n) for i, n in enumerate(names)]))
 
 
 def parse_edits(text: Column, prompt: Column, most: int = 5) -> Column:
     """Edit instructions whose echoed caption is within ``most`` edits of the prompt and whose phrase isn't a note that nothing changed."""
     found = find_all(text, EDIT, ["input_caption", "input_phrase", "edited_phrase", "edited_region_phrase", "edited_caption", "category"])
-    kept = F.filter(found, lambda m: (F.levenshtein(m["input_caption"], prompt) <= most) & (F.levenshtein(F.lower(m["edited_phrase"]), F.lit("no attribute change")) >= 2))
+    kept = F.filter(found, lambda m: within_edits(m["input_caption"], prompt, most) & ~within_edits(F.lower(m["edited_phrase"]), F.lit("no attribute change"), 1))
     return F.filter(kept, lambda m: F.contains(F.substring_index(m["category"], "(", 1), F.lit("object")) | F.contains(F.substring_index(m["category"], "(", 1), F.lit("attribute")))
 
 

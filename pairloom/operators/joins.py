@@ -15,12 +15,12 @@ from pairloom.operators.windows import keep_first
 
 def with_default(rows: DataFrame, tags: DataFrame, on: list[str], tag: str, default: str) -> DataFrame:
     """Left join to a tag, with a default where there is none."""
-    return spread_join(rows, tags.select(*on, tag), on, F.xxhash64(*rows.columns), "left").withColumn(tag, F.coalesce(tag, F.lit(default)))
+    return spread_join(rows, tags.select(*on, tag), on, "left").withColumn(tag, F.coalesce(tag, F.lit(default)))
 
 
 def accepted(edits: DataFrame, verdicts: DataFrame, on: list[str], verdict: str = "reject", wanted: str = "NO") -> DataFrame:
     """Edits whose verdict is exactly ``wanted``; a missing one drops the edit."""
-    return spread_join(edits, verdicts.filter(F.col(verdict) == wanted).select(*on).distinct(), on, F.xxhash64(*edits.columns), "left_semi")
+    return spread_join(edits, verdicts.filter(F.col(verdict) == wanted).select(*on).distinct(), on, "left_semi")
 
 
 def reconciled(rows: DataFrame, key: list[str], must: dict[str, DataFrame], must_not: dict[str, DataFrame]) -> DataFrame:
@@ -28,7 +28,7 @@ def reconciled(rows: DataFrame, key: list[str], must: dict[str, DataFrame], must
     out, flags = rows, []
     for name, (df, want) in {**{n: (d, True) for n, d in must.items()}, **{n: (d, False) for n, d in must_not.items()}}.items():
         found = df.select(*key).distinct().withColumn(name, F.lit(True))
-        out = spread_join(out, found, key, F.xxhash64(*rows.columns), "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+        out = spread_join(out, found, key, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
         flags.append(F.col(name) if want else ~F.col(name))
     kept = flags[0]
     for f in flags[1:]:
@@ -38,7 +38,7 @@ def reconciled(rows: DataFrame, key: list[str], must: dict[str, DataFrame], must
 
 def remaining(rows: DataFrame, done: DataFrame, on: list[str]) -> DataFrame:
     """Rows that aren't done yet."""
-    return spread_join(rows, done.select(*on).distinct(), on, F.xxhash64(*rows.columns), "left_anti")
+    return spread_join(rows, done.select(*on).distinct(), on, "left_anti")
 
 
 def incomplete(rows: DataFrame, done: DataFrame, on: list[str], want: str, have: str) -> DataFrame:

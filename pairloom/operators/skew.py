@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 #: Largest row count of a side that is broadcast; the size is checked before each use.
 BROADCAST_ROWS = 20_000
@@ -13,27 +13,35 @@ def within(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def spread_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: list[str],
-    spread_by: Column,
-    how: str = "inner",
-    salts: int = 64,
-    max_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+#: Keys looked for as hot, and the part of all rows from which on a key is.
+HOT_KEYS = 256
+HOT_PART = 1_000
+#: Below so many rows no key is hot, whatever its part.
+HOT_LEAST = 100_000
+
+
+def hot_hashes(rows: DataFrame, on: list[str]) -> list[int]:
+    """Hashes of the keys that hold more than 1/``HOT_PART`` of the rows, by one mergeable frequency sketch: no shuffle, ``HOT_KEYS`` at most."""
+    found = rows.select(F.xxhash64(*on).alias("h")).agg(F.expr(f"approx_top_k(h, {HOT_KEYS}, {16 * HOT_KEYS})").alias("top"), F.count("*").alias("n")).first()
+    least = max(found["n"] / HOT_PART, HOT_LEAST)
+    return [x["item"] for x in found["top"] or [] if x["count"] > least]
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join ``big`` to ``small`` (unique on ``on``) without letting a hot key fill one task.
 
-    A ``small`` of at most ``max_rows`` rows, checked here, is broadcast. A larger one is
-    repeated over ``salts`` values and ``big`` is spread over them by ``spread_by``, so a key
-    with a third of all rows becomes ``salts`` equal parts. ``how`` may be ``inner``,
-    ``left``, ``left_semi`` or ``left_anti``. Null keys match nothing.
+    A ``small`` of at most ``max_rows`` rows, checked here, is broadcast. Beyond that the rows of
+    hot keys, of which there are ``HOT_KEYS`` at most, meet their matches by broadcast, and only the
+    rest, in which every key is rare, is shuffled. ``how`` may be ``inner``, ``left``,
+    ``left_semi`` or ``left_anti``. Null keys match nothing.
     """
     if within(small, max_rows):
         return big.join(F.broadcast(small), on, how)
-    parts = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = big.withColumn("__salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    return salted.join(parts, [*on, "__salt"], how).drop("__salt")
+    hot = hot_hashes(big, on)
+    if not hot:
+        return big.join(small, on, how)
+    is_hot = F.xxhash64(*[F.col(c) for c in on]).isin(hot)
+    return big.filter(is_hot).join(F.broadcast(small.filter(is_hot)), on, how).unionByName(big.filter(~is_hot).join(small, on, how))
 
 
 def hot_split_join(rows: DataFrame, groups: DataFrame, key: str, size: str, hot_share: int = 1000) -> DataFrame:

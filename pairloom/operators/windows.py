@@ -52,7 +52,7 @@ def stratified_quota(rows: DataFrame, category: str, sub: str, caps: dict[str, i
     most = max([*caps.values(), default or 1])
     first = Window.partitionBy(category, sub).orderBy(*order)
     second = Window.partitionBy(category).orderBy(F.col(sub), *order)
-    shares = spread_join(capped, counts, [category], F.xxhash64(*[F.col(c) for c in rows.columns]))
+    shares = spread_join(capped, counts, [category])
     kept = shares.withColumn("__r", F.row_number().over(first)).filter(F.col("__r") <= most).filter(F.col("__r") <= fair)
     return kept.withColumn("__q", F.row_number().over(second)).filter("__q <= __cap").drop("__cap", "__subs", "__r", "__q")
 

@@ -153,17 +153,17 @@ _CLEAN = "n.input_phrase is not null and n.edited_phrase is not null and n.edite
 
 @query(
     f"""select sample_id, cast(count(*) as int) edits, min(n.edited_phrase) first_phrase from (select sample_id, caption, unnest(negatives) n from samples where caption is not null) where {_CLEAN}
-  and (contains(split_part(n.category, '(', 1), 'object') or contains(split_part(n.category, '(', 1), 'attribute')) and trim(caption) = caption and trim(n.edited_phrase) = n.edited_phrase group by 1"""
+  and (contains(split_part(n.category, '(', 1), 'object') or contains(split_part(n.category, '(', 1), 'attribute')) and {_STRIP.format('caption')} = caption and {_STRIP.format('n.edited_phrase')} = n.edited_phrase group by 1"""
 )
 def parse_edits(spark, root):
-    clean = lambda n: (n["input_phrase"].isNotNull() & n["edited_phrase"].isNotNull() & n["edited_caption"].isNotNull() & n["category"].isNotNull() & ~F.concat(F.col("caption"), n["edited_caption"], n["edited_phrase"], n["input_phrase"]).rlike('["\n\r]') & (F.trim(F.col("caption")) == F.col("caption")) & (F.trim(n["edited_phrase"]) == n["edited_phrase"]))
+    clean = lambda n: (n["input_phrase"].isNotNull() & n["edited_phrase"].isNotNull() & n["edited_caption"].isNotNull() & n["category"].isNotNull() & ~F.concat(F.col("caption"), n["edited_caption"], n["edited_phrase"], n["input_phrase"]).rlike('["\n\r]') & (C.strip(F.col("caption")) == F.col("caption")) & (C.strip(n["edited_phrase"]) == n["edited_phrase"]))
     rows = table(spark, root, "samples").filter("caption is not null").withColumn("negatives", F.filter("negatives", lambda n: F.coalesce(clean(n), F.lit(False))))
     one = lambda n: F.concat(
         F.lit('{"InputCaption": "'), F.col("caption"), F.lit('", "SelectedPhrase": "'), n["input_phrase"], F.lit('", "EditedPhrase": "'), n["edited_phrase"], F.lit('", "EditedRegionPhrase": "'), n["edited_phrase"],
         F.lit('", "EditedCaption": "'), n["edited_caption"], F.lit('", "Category": "'), n["category"], F.lit('"}'),
     )
     found = R.parse_edits(F.array_join(F.transform("negatives", one), ", "), F.col("caption"))
-    return rows.select("sample_id", found.alias("e")).filter("size(e) > 0").select("sample_id", F.size("e").alias("edits"), F.array_min(F.transform("e", lambda m: m["edited_phrase"])).alias("first_phrase"))
+    return rows.select("sample_id", F.explode(found).alias("e")).groupBy("sample_id").agg(F.count("*").cast("int").alias("edits"), F.min("e.edited_phrase").alias("first_phrase"))
 
 
 @query("select p_partkey, 2 as questions, 'Is it ' || p_type || '?' as first_question, 'yes|no' as choices, 'yes' as answer, 'Q ' || p_brand as simple, p_type as reply from part")
