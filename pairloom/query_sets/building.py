@@ -40,14 +40,14 @@ def contrastive_rows(spark, root):
 
 
 @query(
-    f"""with {_FLAT}, d as (select image_id, edit_id, editedphrase visdiff from edit_responses where image_id is not null and edit_id is not null
-    qualify row_number() over (partition by image_id, edit_id order by response_id, editedphrase nulls last, editedcaption nulls last) = 1)
+    f"""with {_FLAT}, d as (select distinct image_id, edit_id, edited_image_path visdiff from image_scores where image_id is not null and edit_id is not null
+    qualify row_number() over (partition by image_id, edit_id order by score_id) = 1)
   select f.image_path, f.edited_image_path, d.visdiff, f.edit_id from flat f join d on f.image_id = d.image_id and f.edit_id = d.edit_id"""
 )
 def difference_rows(spark, root):
-    r = table(spark, root, "edit_responses").filter("image_id is not null and edit_id is not null")
-    d = W.keep_first(r, ["image_id", "edit_id"], [F.col("response_id"), F.col("editedphrase").asc_nulls_last(), F.col("editedcaption").asc_nulls_last()])
-    return D.difference_rows(table(spark, root, "samples"), d.select("image_id", "edit_id", F.col("editedphrase").alias("visdiff")))
+    r = table(spark, root, "image_scores").filter("image_id is not null and edit_id is not null")
+    d = W.keep_first(r, ["image_id", "edit_id"], [F.col("score_id")])
+    return D.difference_rows(table(spark, root, "samples"), d.select("image_id", "edit_id", F.col("edited_image_path").alias("visdiff")))
 
 
 _NO_STOP = "regexp_replace({0}, '\\.$', '')"
@@ -161,7 +161,7 @@ def first_perfect_else_last(spark, root):
 
 _EDITS = f"""{_FLAT}, edits as (select distinct image_id, edit_id from flat where image_id is not null and edit_id is not null),
   good as (select distinct image_id, edit_id from image_scores where tifa_score >= 0.9 and not isnan(tifa_score)),
-  said as (select distinct image_id, edit_id from edit_responses)"""
+  said as (select distinct image_id, edit_id from image_scores where region_tifa_score is null)"""
 
 
 @query(
@@ -172,7 +172,7 @@ _EDITS = f"""{_FLAT}, edits as (select distinct image_id, edit_id from flat wher
 def reconcile_edits(spark, root):
     edits = _flat(spark, root).select("image_id", "edit_id").dropna().distinct()
     good = table(spark, root, "image_scores").filter("tifa_score >= 0.9 and not isnan(tifa_score)")
-    return J.reconciled(edits, ["image_id", "edit_id"], {"scored": good}, {"answered": table(spark, root, "edit_responses")})
+    return J.reconciled(edits, ["image_id", "edit_id"], {"scored": good}, {"answered": table(spark, root, "image_scores").filter("region_tifa_score is null")})
 
 
 @query(f"with {_EDITS} select e.* from edits e join good g on e.image_id = g.image_id and e.edit_id = g.edit_id")
@@ -183,7 +183,7 @@ def accepted_edits(spark, root):
 
 @query(f"with {_EDITS} select e.* from edits e left join said s on e.image_id = s.image_id and e.edit_id = s.edit_id where s.edit_id is null")
 def cache_resume(spark, root):
-    return J.remaining(_flat(spark, root).select("image_id", "edit_id").dropna().distinct(), table(spark, root, "edit_responses"), ["image_id", "edit_id"])
+    return J.remaining(_flat(spark, root).select("image_id", "edit_id").dropna().distinct(), table(spark, root, "image_scores").filter("region_tifa_score is null"), ["image_id", "edit_id"])
 
 
 @query(
@@ -198,11 +198,11 @@ def incomplete_cache(spark, root):
 
 
 @query(
-    f"""with {_FLAT}, tags as (select image_id, edit_id, max(model_name) tag from edit_responses where model_name is not null group by 1, 2)
+    f"""with {_FLAT}, tags as (select image_id, edit_id, max(split_part(edited_image_path, '/', 3)) tag from image_scores where tifa_score > 0.5 group by 1, 2)
   select f.sample_id, f.pos, coalesce(t.tag, 'Others') as tag from flat f left join tags t on f.image_id = t.image_id and f.edit_id = t.edit_id"""
 )
 def tag_left_join_default(spark, root):
-    tags = table(spark, root, "edit_responses").filter("model_name is not null").groupBy("image_id", "edit_id").agg(F.max("model_name").alias("tag"))
+    tags = table(spark, root, "image_scores").filter("tifa_score > 0.5").groupBy("image_id", "edit_id").agg(F.max(F.split_part("edited_image_path", F.lit("/"), F.lit(3))).alias("tag"))
     return J.with_default(_flat(spark, root), tags, ["image_id", "edit_id"], "tag", "Others").select("sample_id", "pos", "tag")
 
 
@@ -211,18 +211,18 @@ _PAIR = """case when category ~ '^.*?\\s*\\(.*?\\)\\s*$' then regexp_extract(cat
 
 @query(
     f"""with {_FLAT}, s as (select edited_image_path, max(tifa_score) t, max(region_tifa_score) r from image_scores where not isnan(tifa_score) and not isnan(region_tifa_score) group by 1),
-  said as (select image_id, edit_id, max(model_name) tag from edit_responses where model_name is not null group by 1, 2)
+  said as (select image_id, edit_id, max(split_part(edited_image_path, '/', 3)) tag from image_scores where tifa_score > 0.5 group by 1, 2)
   select f.sample_id, f.pos, case when {_PAIR} in ('object', 'attribute', 'relation', 'counting') then {_PAIR} else 'others' end category, coalesce(m.tag, 'Others') sub_category
   from flat f join s on f.edited_image_path = s.edited_image_path left join said m on f.image_id = m.image_id and f.edit_id = m.edit_id
   where (contains(category, 'object') or contains(category, 'attribute')) and t >= 0.9 and r >= 0.9
-  and exists (select 1 from edit_responses e where e.image_id = f.image_id and e.edit_id = f.edit_id and e.editedcaption is not null)"""
+  and exists (select 1 from image_scores e where e.image_id = f.image_id and e.edit_id = f.edit_id and e.score_id % 3 > 0)"""
 )
 def scored_negatives(spark, root):
-    usable = table(spark, root, "image_scores").filter("not isnan(tifa_score) and not isnan(region_tifa_score)")
+    usable = table(spark, root, "image_scores").filter("tifa_score is not null and region_tifa_score is not null and not isnan(tifa_score) and not isnan(region_tifa_score)")
     scores = usable.groupBy("edited_image_path").agg(F.max("tifa_score").alias("tifa_score"), F.max("region_tifa_score").alias("region_tifa_score"))
-    answers = table(spark, root, "edit_responses")
-    verdicts = answers.withColumn("reject", F.when(F.col("editedcaption").isNotNull(), "NO").otherwise("YES"))
-    tags = answers.filter("model_name is not null").groupBy("image_id", "edit_id").agg(F.max("model_name").alias("sub_category"))
+    rows = table(spark, root, "image_scores")
+    verdicts = rows.withColumn("reject", F.when(F.col("score_id") % 3 > 0, "NO").otherwise("YES"))
+    tags = rows.filter("tifa_score > 0.5").groupBy("image_id", "edit_id").agg(F.max(F.split_part("edited_image_path", F.lit("/"), F.lit(3))).alias("sub_category"))
     edits = _flat(spark, root).drop("sub_category").join(scores, "edited_image_path")
     return D.scored_negatives(edits, verdicts, tags, 0.9).select("sample_id", "pos", "category", "sub_category")
 
