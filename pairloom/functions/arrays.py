@@ -53,3 +53,22 @@ def regrouped(outputs: Column, batch: int, repeats: int, sequences: int) -> Colu
 def fixed_stride(items: Column, size: int) -> Column:
     """Consecutive parts of ``size`` elements, the last one with the rest."""
     return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / size).cast("int")), lambda i: F.slice(items, i * size + 1, size))).otherwise(F.array().cast("array<array<string>>"))
+
+
+def transposed(rows: Column) -> Column:
+    """Rows and columns of a rectangular nested array exchanged; no rows give no rows."""
+    width = F.size(F.get(rows, F.lit(0)))
+    return F.when(F.size(rows) == 0, rows).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), lambda i: F.transform(rows, lambda r: F.get(r, i))))
+
+
+def inverted(map_: Column) -> Column:
+    """Values to keys; of keys with the same value the last one counts."""
+    entries = F.map_entries(map_)
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda o: o["value"] == e["value"]))
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["value"].alias("key"), e["key"].alias("value"))))
+
+
+def merged(old: Column, new: Column) -> Column:
+    """Both maps' entries; the new one's value counts where both have a key."""
+    kept = F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k))
+    return F.map_concat(kept, new)

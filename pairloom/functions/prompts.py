@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from pairloom.functions.captions import drop_full_stop, pluralize, sentence_case, strip_article
+from pairloom.functions.captions import drop_full_stop, format_caption, pluralize, sentence_case, strip_article
 from pairloom.functions.sampling import draw
 
 # Wordings of picture questions; {c} is the caption.
@@ -193,3 +193,14 @@ def chat_messages(kind: Column, question: Column, answer: Column) -> Column:
     asked = F.when(F.coalesce(question, F.lit("")) != "", F.array(item("text", question))).otherwise(F.slice(pictures, 1, 0))
     turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     return F.array(turn("user", F.concat(pictures, asked)), turn("assistant", F.array(item("text", answer))))
+
+
+def contrast_texts(names: Column) -> Column:
+    """The texts that questions on a pair of objects are written for: each one, and not the other."""
+    say = lambda i: format_caption(F.concat(F.get(names, F.lit(i)), F.lit(". Not "), F.get(names, F.lit(1 - i))))
+    return F.when(F.size(names) == 2, F.array(say(0), say(1)))
+
+
+def object_texts(names: Column) -> Column:
+    """The texts that questions on counted objects are written for, one per distinct object."""
+    return F.transform(F.array_distinct(names), lambda n: format_caption(F.concat(F.lit("A photo of a "), n)))

@@ -139,7 +139,7 @@ def region_mean_of_means(spark, root):
 
 
 @query(
-    """select user_id, event_type, n as majority, total as votes from (
+    """select user_id, event_type, n as majority, cast(total as bigint) as votes from (
   select *, sum(n) over (partition by user_id) total, row_number() over (partition by user_id order by n desc, f) r
   from (select user_id, event_type, count(*) n, min(event_id) f from events group by 1, 2)) where r = 1"""
 )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pairloom.functions import arrays as A
 from pairloom.functions import captions as C
+from pairloom.functions import filters as X
 from pairloom.functions import geometry as G
 from pairloom.functions import parsing as R
 from pairloom.functions import prompts as P
@@ -314,3 +315,47 @@ def prompt_assembly(spark, root):
         P.few_shot(F.lit("Do it.\n"), F.array(F.lit("one"), F.lit("two")), "In", F.col("caption_0"), "Out").alias("prompt"),
         P.verification_captions(F.col("caption_0"), F.col("caption_0"), F.col("caption_1"))[2].alias("contrast"), F.size(P.chat_messages(F.lit("image"), F.col("caption_0"), F.lit("A"))).alias("turns"),
     )
+
+
+@query(
+    """with p as (select id, caption_0 c, image_0 im, split_part(id, '-', 2)::int k from bench_pairs)
+  select id, true as in_test, not contains(im, 'train') as in_validation, k % 4 = 0 as degenerate, len(list_filter(string_split(c, ' '), lambda w: w in ('left','right','top','bottom','below','above','under'))) > 0 as directed,
+    length(c) >= 3 as long_enough, k % 5 >= 3 as enough, k % 3 = 1 as once from p"""
+)
+def predicates(spark, root):
+    k = F.split_part("id", F.lit("-"), F.lit(2)).cast("int")
+    some = lambda n: F.slice(F.array(*[F.lit(i) for i in range(6)]), 1, n)
+    nouns = F.when(k % 3 == 1, F.array(F.lit("dog"), F.lit("cat"))).otherwise(F.array(F.lit("dog"), F.lit("dog")))
+    return table(spark, root, "bench_pairs").select(
+        "id", X.of_split(F.col("image_0"), "test").alias("in_test"), X.of_split(F.col("image_0"), "validation").alias("in_validation"),
+        X.degenerate_group(F.when(k % 4 == 0, F.lit("A group of one dog.")).otherwise(F.col("caption_0"))).alias("degenerate"), X.has_direction_token(F.col("caption_0")).alias("directed"),
+        X.long_enough(F.col("caption_0")).alias("long_enough"), X.enough_questions(some(k % 5), some(F.lit(2)), some(F.lit(1))).alias("enough"), X.counted_once(nouns, F.lit("dog"), F.lit(2)).alias("once"),
+    )
+
+
+@query("select p_partkey, 1 as usable, p_size % 5 >= 4 as for_each, p_size % 6 >= 3 as fits, case when p_partkey % 2 = 0 then 'b' end as kept from part")
+def question_and_box_filters(spark, root):
+    asked = F.array(F.struct(F.lit("Is it clearly visible?").alias("question")), F.struct(F.lit("Is it red?").alias("question")))
+    three = F.array(F.lit("a"), F.lit("b"), F.lit("c"))
+    names = F.array(F.lit("a"), F.lit("b"))
+    gone = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("z")))
+    return table(spark, root, "part").select(
+        "p_partkey", F.size(X.usable_questions(asked)).alias("usable"), X.enough_for_each(F.create_map(F.lit("k"), F.slice(F.array(*[F.lit(i) for i in range(6)]), 1, F.col("p_size") % 5))).alias("for_each"),
+        X.count_fits(F.concat((F.col("p_size") % 6).cast("string"), F.lit(" dogs")), three).alias("fits"), F.array_join(X.without(names, gone), ",").alias("kept"),
+    )
+
+
+@query("select p_partkey, 'A cup. Not ' || p_type || '.|' || upper(left(p_type, 1)) || substr(p_type, 2) || '. Not a cup.' as contrasts, 'A photo of a ' || p_type || '.' as objects from part")
+def layout_texts(spark, root):
+    t = F.col("p_type")
+    return table(spark, root, "part").select("p_partkey", F.array_join(P.contrast_texts(F.array(F.lit("a cup"), t)), "|").alias("contrasts"), F.array_join(P.object_texts(F.array(t, t)), "|").alias("objects"))
+
+
+@query("select p_partkey, '1,3;2,4' as columns, p_brand as key, 'new' as merged, 2 as entries from part")
+def map_helpers(spark, root):
+    flipped = A.inverted(F.create_map(F.col("p_brand"), F.lit("v")))
+    both = A.merged(F.create_map(F.lit("a"), F.lit("old"), F.lit("b"), F.lit("old")), F.create_map(F.lit("a"), F.lit("new")))
+    cols = A.transposed(F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3), F.lit(4))))
+    return table(spark, root, "part").select(
+        "p_partkey", F.array_join(F.transform(cols, lambda c: F.array_join(c.cast("array<string>"), ",")), ";").alias("columns"), flipped["v"].alias("key"), both["a"].alias("merged"), F.size(both).alias("entries")
+    )

@@ -210,3 +210,47 @@ def stream_resume(spark, root):
 def windowed_counts(spark, root):
     out = resume.windowed_counts(table(spark, root, "events"), "ts", ["event_type"], "value")
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("select image_id::bigint as image_id, caption from samples where split = 'train' and caption is not null and image_id is not null")
+def approved_captions(spark, root):
+    s = table(spark, root, "samples").filter("caption is not null and image_id is not null")
+    said = F.create_map("caption", F.struct(F.when(F.col("split") == "train", "yes").otherwise("no").alias("output")))
+    return readers.approved_captions(s.select("image_id", said.alias("a")), "a")
+
+
+@query("select o_custkey as image_id, count(*) as tags, min(o_orderkey) as first_tag from orders group by 1")
+def instance_tables(spark, root):
+    """Annotations of one document per group of orders, gathered by image."""
+    o = table(spark, root, "orders").withColumn("g", F.pmod("o_custkey", F.lit(16)))
+    item = F.struct(F.col("o_custkey").alias("image_id"), F.col("o_orderkey").alias("id"), F.lit(1).alias("category_id"), F.col("o_totalprice").alias("area"), F.array(F.lit(0.0)).alias("bbox"))
+    docs = o.groupBy("g").agg(F.collect_list(item).alias("annotations")).withColumns({"images": F.array(F.struct(F.col("g").alias("id"))), "categories": F.array(F.struct(F.lit(1).alias("id")))})
+    tags = readers.instance_tables(docs)["tags"]
+    return tags.select("image_id", F.size("tags").cast("bigint").alias("tags"), F.col("tags")[0]["id"].alias("first_tag"))
+
+
+@query("select '/r/a/' || event_id || '.jpg' as image_path, event_type as caption from events")
+def csv_paths(spark, root):
+    path = scratch_path(spark, "paths")
+    sinks.csv(table(spark, root, "events").select(F.concat(F.lit("/"), F.col("event_id"), F.lit(".jpg")).alias("image_path"), F.col("event_type").alias("caption")), path)
+    return readers.csv_pairs(spark, path, "/r", {"image_path": "a"}, "image_path string, caption string")
+
+
+@query("select event_id::varchar as url, event_type as caption from events")
+def tsv_and_lines(spark, root):
+    """Lines written and read again as a tab-separated file without header."""
+    path = scratch_path(spark, "lines")
+    sinks.lines(table(spark, root, "events").select(F.concat(F.col("event_id").cast("string"), F.lit("\t"), "event_type").alias("x")), "x", path)
+    assert readers.text_lines(spark, path).columns == ["line"]
+    return readers.tsv(spark, path, "url string, caption string")
+
+
+@query("select event_id, '{\"id\":' || event_id || ',\"kind\":\"' || event_type || '\",\"none\":null}' as body from events")
+def json_texts(spark, root):
+    row = F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.lit(None).cast("string").alias("none"))
+    return table(spark, root, "events").select("event_id", sinks.json_text(row).alias("body"))
+
+
+@query("select event_id, substr(sha256(event_id || chr(31) || event_type), 1, 16) || '.png' as name from events")
+def output_names(spark, root):
+    return table(spark, root, "events").select("event_id", sinks.output_name(F.col("event_id").cast("string"), F.col("event_type")).alias("name"))

@@ -66,12 +66,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, deleted when the driver ends."""
+    """A fresh path below the shared folder, deleted by ``release`` or when the driver ends."""
     path = f"{shared_dir(spark)}/pairloom/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    if not _scratch:
+        atexit.register(release, spark)
+    _scratch.append(path)
     return path
 
 
+_scratch: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch tables so far. What was read from them and isn't written elsewhere can't be read again."""
+    while _scratch:
+        _delete(spark, _scratch.pop())
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 
