@@ -19,10 +19,9 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.operators.skew import within
@@ -48,11 +47,6 @@ _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--[^>]*-->")
 _WORD = re.compile(r"[^\W_]+")
 
 
-def _objects(values: list) -> pd.Series:
-    """A column of strings, bytes or arrays, typed even where it is empty."""
-    return pd.Series(values, dtype=object)
-
-
 def clean_words(text: str | None) -> list[str]:
     """Words of a text without markup, character references, invisible characters and compatibility forms."""
     if not text:
@@ -74,53 +68,61 @@ def _has_invisible(text: str) -> bool:
     return _INVISIBLE.search(text) is not None
 
 
-@lru_cache(maxsize=500_000)
-def _term(word: str) -> int:
-    return zlib.crc32(word.encode()) % TERMS
+class _Terms(dict):
+    """Hashed terms of the words seen so far; it starts anew when it has grown large."""
 
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = found = zlib.crc32(word.encode()) % TERMS
+        return found
 
-def _tokens(key: str, text: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            words = [clean_words(x) for x in b[text]]
-            out = {"norm": _objects([" ".join(w) for w in words]), "t": _objects([np.fromiter(map(_term, w), np.int32, len(w)) for w in words])}
-            yield pd.DataFrame({key: b[key].reset_index(drop=True)} | out)
 
-    return run
+_terms = _Terms()
+_term = _terms.__getitem__
+
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words = [clean_words(x) for x in b.column(1).to_pylist()]
+        ends = np.cumsum([0, *map(len, words)], dtype=np.int64)
+        flat = np.fromiter((_term(w) for ws in words for w in ws), np.int32, int(ends[-1]))
+        terms = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([" ".join(w) for w in words], pa.string()), terms], [b.schema.names[0], "norm", "t"])
 
-def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, docs, words = np.zeros(TERMS, np.int64), 0, 0
     for b in batches:
-        for t in b["t"]:
-            df[np.unique(t)] += 1
-            docs, words = docs + 1, words + len(t)
+        t = b.column(0)
+        docs, words = docs + len(t), words + len(t.flatten())
+        for place, first, size, chunk in _chunks(t):
+            own = np.unique(np.repeat(place, size) * TERMS + chunk)
+            df += np.bincount(own % TERMS, minlength=TERMS)
     at = np.flatnonzero(df)
-    yield pd.DataFrame({"term": np.append(at, [-1, -2]).astype(np.int32), "n": np.append(df[at], [docs, words])})
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2]).astype(np.int32)), pa.array(np.append(df[at], [docs, words]))], ["term", "n"])
 
 
-def _chunks(arrays: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _chunks(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Groups of pieces of about ``CHUNK`` words: place of the document in the batch, first word in it, length, words.
 
-    A document is one piece, a longer one several that share ``2 * STEP`` words with the next.
+    A document is one piece; a longer one than ``CHUNK`` is several, that share ``2 * STEP`` words with the next.
     """
-    pieces: list[tuple[int, int, np.ndarray]] = []
-    held = 0
-    for place, t in enumerate(arrays):
-        for at in range(0, len(t), CHUNK):
-            part = t[at : at + CHUNK + 2 * STEP]
-            pieces.append((place, at, part))
-            held += len(part)
-            if held >= CHUNK:
-                yield _packed(pieces)
-                pieces, held = [], 0
-    if pieces:
-        yield _packed(pieces)
-
-
-def _packed(pieces: list[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    place, at, parts = zip(*pieces)
-    return np.array(place), np.array(at), np.array([len(p) for p in parts]), np.concatenate(parts)
+    ends = np.asarray(lists.offsets)
+    values = np.asarray(lists.values)
+    at, n = 0, len(lists)
+    while at < n:
+        if ends[at + 1] - ends[at] > CHUNK:
+            for first in range(0, int(ends[at + 1] - ends[at]), CHUNK):
+                part = values[ends[at] + first : min(ends[at + 1], ends[at] + first + CHUNK + 2 * STEP)]
+                yield np.array([at]), np.array([first]), np.array([len(part)]), part
+            at += 1
+            continue
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK, "right")) - 1)
+        size = np.diff(ends[at : to + 1])
+        if size.any():
+            yield np.arange(at, to), np.zeros(to - at, np.int64), size, values[ends[at] : ends[to]]
+        at = to
 
 
 def _blocks(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,12 +145,12 @@ def _passages(weights: np.ndarray, words: np.ndarray, start: np.ndarray, follows
 def _range_pass(idf: np.ndarray):
     """Accumulates the transposed matrix times (matrix times random directions), by term."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ways = RANK + EXTRA
         omega = np.random.default_rng(11).standard_normal((TERMS, ways), dtype=np.float32) * idf[:, None]
         total = np.zeros((TERMS, ways), np.float32)
         for b in batches:
-            for _, _, size, words in _chunks(b["t"]):
+            for _, _, size, words in _chunks(b.column(0)):
                 start, _, follows = _blocks(size)
                 y = _passages(omega, words, start, follows)
                 y[1:] += y[:-1] * follows[:-1, None]  # a word lies in the passage of its block and the one before
@@ -157,30 +159,36 @@ def _range_pass(idf: np.ndarray):
                 terms, first = np.unique(words[order], return_index=True)
                 total[terms] += np.add.reduceat(y[of[order]], first, axis=0)
         at = np.flatnonzero(np.abs(total).sum(1))
-        yield pd.DataFrame({"term": at.astype(np.int32), "v": _objects([x.tobytes() for x in total[at] * idf[at, None]])})
+        yield _vectors(at, total[at] * idf[at, None])
 
     return run
 
 
-def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total: dict[int, np.ndarray] = {}
+def _vectors(terms: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(terms.astype(np.int32)), pa.array([x.tobytes() for x in rows], pa.binary())], ["term", "v"])
+
+
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ways = RANK + EXTRA
+    total, seen = np.zeros((TERMS, ways), np.float32), np.zeros(TERMS, bool)
     for b in batches:
-        for term, v in zip(b["term"], b["v"]):
-            v = np.frombuffer(v, np.float32)
-            total[term] = total[term] + v if term in total else v
-    yield pd.DataFrame({"term": np.array(list(total), np.int32), "v": _objects([x.tobytes() for x in total.values()])})
+        terms = np.asarray(b.column(0))
+        np.add.at(total, terms, np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(len(terms), ways))
+        seen[terms] = True
+    at = np.flatnonzero(seen)
+    yield _vectors(at, total[at])
 
 
 def _gram_pass(idf: np.ndarray, q: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram = np.zeros((q.shape[1], q.shape[1]))
         weights = q * idf[:, None]
         for b in batches:
-            for _, _, size, words in _chunks(b["t"]):
+            for _, _, size, words in _chunks(b.column(0)):
                 start, _, follows = _blocks(size)
                 y = _passages(weights, words, start, follows)
                 gram += (y.T @ y).astype(float)
-        yield pd.DataFrame({"g": [gram.tobytes()]})
+        yield pa.RecordBatch.from_arrays([pa.array([gram.tobytes()], pa.binary())], ["g"])
 
     return run
 
@@ -195,8 +203,8 @@ class LatentIndex:
     def __init__(self, docs: DataFrame, key: str, text: str):
         kind = f"{key} {docs.schema[key].dataType.simpleString()}, norm string, t array<int>"
         self.key = key
-        self.tokens = materialize(docs.filter(F.col(text).isNotNull()).select(key, text).mapInPandas(_tokens(key, text), kind), "tokens")
-        counts = self.tokens.select("t").mapInPandas(_frequencies, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # TERMS + 2 rows at most
+        self.tokens = materialize(docs.filter(F.col(text).isNotNull()).select(key, text).mapInArrow(_tokens, kind), "tokens")
+        counts = self.tokens.select("t").mapInArrow(_frequencies, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # TERMS + 2 rows at most
         counts = dict(zip(counts["term"], counts["n"]))
         self.docs, self.words = counts.pop(-1, 0), counts.pop(-2, 0)
         df = np.zeros(TERMS)
@@ -207,13 +215,13 @@ class LatentIndex:
     def _fit(self) -> np.ndarray:
         share = min(1.0, FIT_WORDS / max(self.words, 1))
         sample = self.tokens if share == 1 else self.tokens.filter(F.pmod(F.xxhash64(F.lit("fit"), self.key), F.lit(1 << 20)) < int(share * (1 << 20)))
-        parts = sample.select("t").mapInPandas(_range_pass(self.idf), "term int, v binary").repartition("term").mapInPandas(_combine, "term int, v binary")
+        parts = sample.select("t").mapInArrow(_range_pass(self.idf), "term int, v binary").repartition("term").mapInArrow(_combine, "term int, v binary")
         w = np.zeros((TERMS, RANK + EXTRA), np.float32)
         for row in parts.toLocalIterator():  # TERMS rows at most
             w[row.term] = np.frombuffer(bytes(row.v), np.float32)
         q = np.linalg.qr(w)[0].astype(np.float32)
         gram = np.zeros((RANK + EXTRA, RANK + EXTRA))
-        for row in sample.select("t").mapInPandas(_gram_pass(self.idf, q), "g binary").toLocalIterator():
+        for row in sample.select("t").mapInArrow(_gram_pass(self.idf, q), "g binary").toLocalIterator():
             gram += np.frombuffer(bytes(row.g)).reshape(gram.shape)
         vectors = np.linalg.eigh(gram)[1][:, ::-1][:, :RANK]
         return (q @ vectors.astype(np.float32) * self.idf[:, None]).astype(np.float32)
@@ -263,11 +271,11 @@ def leaked(index: LatentIndex, items: list[tuple[str, str]], run: int = STEP) ->
     names = [sorted(texts[s]) for s in seqs]
     rows_at_once = max(16, CELLS // queries.shape[1])
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: set[tuple[int, str]] = set()
             split: dict[int, list[str]] = {}  # words of documents with a hit
-            for place, first, size, words in _chunks(b["t"]):
+            for place, first, size, words in _chunks(b.column(2)):
                 start, doc, follows = _blocks(size)
                 unit = _unit(_passages(basis, words, start, follows))
                 hashes = _run_hash(words, run)
@@ -291,14 +299,14 @@ def leaked(index: LatentIndex, items: list[tuple[str, str]], run: int = STEP) ->
                             continue
                         inner += int(first[d])
                         if row not in split:
-                            split[row] = b["norm"].iloc[row].split(" ")
+                            split[row] = b.column(1)[row].as_py().split(" ")
                         text = tuple(split[row][inner : inner + run])
                         found.update((row, n) for seq, w, s in runs[int(h[i])] if seq == text and cosine[p, w] >= least for n in names[s])
-            rows = [r for r, _ in found]
-            yield pd.DataFrame({key: b[key].iloc[rows].to_numpy(), "item": _objects([n for _, n in found])})
+            hits = sorted(found)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r for r, _ in hits], pa.int64())), pa.array([n for _, n in hits], pa.string())], [key, "item"])
 
     kind = f"{key} {index.tokens.schema[key].dataType.simpleString()}, item string"
-    return index.tokens.mapInPandas(search, kind)
+    return index.tokens.select(key, "norm", "t").mapInArrow(search, kind)
 
 
 def collect_items(items: DataFrame, key: str, texts: list[str]) -> list[tuple[str, str]]:
@@ -345,11 +353,11 @@ def paraphrased(index: LatentIndex, items: list[tuple[str, str]], min_cosine: fl
     rows_at_once = max(16, CELLS // queries.shape[1])
     sets = [set(w) for _, w in seqs]
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             best: dict[tuple[int, str], int] = {}
             split: dict[int, list[str]] = {}  # words of documents with a candidate
-            for place, first, size, words in _chunks(b["t"]):
+            for place, first, size, words in _chunks(b.column(2)):
                 start, doc, follows = _blocks(size)
                 unit = _unit(_passages(basis, words, start, follows))
                 offset = np.cumsum(size) - size
@@ -359,14 +367,15 @@ def paraphrased(index: LatentIndex, items: list[tuple[str, str]], min_cosine: fl
                         d, (name, item) = int(doc[lo + p]), seqs[q]
                         row, inner = int(place[d]), int(first[d] + start[lo + p] - offset[d])
                         if row not in split:
-                            split[row] = b["norm"].iloc[row].split(" ")
+                            split[row] = b.column(1)[row].as_py().split(" ")
                         near = split[row][max(0, inner - len(item)) : inner + 2 * STEP + len(item)]
                         if len(sets[q].intersection(near)) < share * len(sets[q]):  # no subsequence can be long enough
                             continue
                         permille = 1000 * lcs_length(item, near) // len(item)
                         if permille >= 1000 * share:
                             best[row, name] = max(permille, best.get((row, name), 0))
-            rows = [r for r, _ in best]
-            yield pd.DataFrame({key: b[key].iloc[rows].to_numpy(), "item": _objects([n for _, n in best]), "lcs_permille": np.array(list(best.values()), np.int32)})
+            hits = sorted(best)
+            columns = [b.column(0).take(pa.array([r for r, _ in hits], pa.int64())), pa.array([n for _, n in hits], pa.string()), pa.array([best[h] for h in hits], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [key, "item", "lcs_permille"])
 
-    return index.tokens.mapInPandas(search, kind).groupBy(key, "item").agg(F.max("lcs_permille").alias("lcs_permille"))
+    return index.tokens.select(key, "norm", "t").mapInArrow(search, kind).groupBy(key, "item").agg(F.max("lcs_permille").alias("lcs_permille"))
