@@ -132,3 +132,18 @@ def closest_ratio(width: Column, height: Column, ratios: list[tuple[int, int]],
         here = F.struct(d.alias("d"), F.lit(c).alias("c"), F.lit(r).alias("r"))
         best = F.when(d < best["d"], here).when((d == best["d"]) & (have > 0.5 * size * size * c * r), here).otherwise(best)
     return F.struct(best["c"].alias("columns"), best["r"].alias("rows"))
+
+
+def tile_ratios(most: int, least: int = 1) -> list[tuple[int, int]]:
+    """Tilings (columns, rows) of ``least`` to ``most`` tiles, the fewest tiles first."""
+    return sorted(((c, r) for c in range(1, most + 1) for r in range(1, most + 1) if least <= c * r <= most), key=lambda t: (t[0] * t[1], t))
+
+
+def tiles(columns: Column, rows: Column, size: int) -> Column:
+    """The square tiles of a tiling, row by row, as corners."""
+
+    def tile(i: Column) -> Column:
+        x, y = (i % columns) * size, F.floor(i / columns).cast("int") * size
+        return F.struct(x.alias("x0"), y.alias("y0"), (x + size).alias("x1"), (y + size).alias("y1"))
+
+    return F.transform(F.sequence(F.lit(0), columns * rows - 1), tile)

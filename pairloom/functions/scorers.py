@@ -89,3 +89,16 @@ def question_scores(questions: DataFrame, by: list[str], question: str, choices:
 
     read = questions.withColumn("__a", closest_choice(vqa_answer(F.col(prediction)), F.col(choices)))
     return answer_score(read, by, "__a", answer)
+
+
+def all_scores(samples: DataFrame, key: str, texts: str, images: str, name: str) -> DataFrame:
+    """The score of every text with every picture of a sample: key, text, image (positions), score."""
+    f = find_scorer(name)
+    long = samples.select(key, F.posexplode(texts).alias("text", "__t"), F.col(images).alias("__i")).select(key, "text", "__t", F.posexplode("__i").alias("image", "__v"))
+    return long.select(key, "text", "image", f(F.col("__t"), F.col("__v")).alias("score"))
+
+
+def cheap_first(rows: DataFrame, cheap: Column, least: float, costly: Column, name: str = "score") -> DataFrame:
+    """Rows whose cheap score reaches a limit, with the costly one. The filter stands before the projection, which Spark doesn't move below it when it calls Python."""
+    passed = rows.withColumn("__cheap", cheap).filter(F.coalesce((F.col("__cheap") >= least) & ~F.isnan("__cheap"), F.lit(False)))
+    return passed.withColumn(name, costly).drop("__cheap")

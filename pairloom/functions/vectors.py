@@ -43,3 +43,8 @@ def argmax(a: Column) -> Column:
 
 def mean(a: Column) -> Column:
     return F.try_divide(_sum(F.transform(a, lambda x: x.cast("double"))), F.size(a))
+
+
+def logit(a: Column, b: Column, scale: float = 100.0) -> Column:
+    """Scaled cosine of two vectors, as two-tower models give it; null if either is zero."""
+    return cosine(a, b) * scale

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from pairloom.functions import geometry as G
 from pairloom.functions import sampling as S
+from pairloom.functions import scorers
+from pairloom.functions import vectors as V
 from pairloom.operators import joins as J
 from pairloom.operators import metrics as M
 from pairloom.operators import upserts as U
@@ -333,3 +336,58 @@ def matching_instances(spark, root):
 @query("select p_brand, p_partkey, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) as rank from part qualify rank <= 5")
 def best_per_class(spark, root):
     return J.best_per_class(table(spark, root, "part"), ["p_brand"], "p_retailprice", [F.col("p_partkey")], 5).select("p_brand", "p_partkey", "rank")
+
+
+def _layouts(spark, root) -> DataFrame:
+    """Layouts of two named boxes made of parts; scores go by the size."""
+    b = lambda name, x: F.struct(name.alias("name"), F.lit(float(x)).alias("x"), F.lit(10.0).alias("y"), (F.col("p_size") + 20).cast("double").alias("w"), F.lit(30.0).alias("h"))
+    p = table(spark, root, "part")
+    return p.select(
+        F.col("p_partkey").alias("image_id"), F.lower(F.concat("p_type", F.lit(" left of "), "p_brand")).alias("prompt"), F.when(F.col("p_partkey") % 2 == 0, "relation(left)").otherwise("counting").alias("category"),
+        F.array(b(F.col("p_type"), 0), F.struct(F.col("p_brand").alias("name"), F.lit(60.0).alias("x"), F.lit(10.0).alias("y"), F.lit(40.0).alias("w"), F.lit(30.0).alias("h"))).alias("bounding_boxes"),
+        F.when(F.col("p_size") % 5 > 0, F.col("p_size") / 50.0).alias("score"), F.lit(0.95).alias("edited_score"),
+    )
+
+
+@query(
+    """with p as (select p_partkey image_id, lower(p_type || ' left of ' || p_brand) prompt, lower(p_brand) || ' left of ' || lower(p_type) edited, case when p_size % 5 > 0 then p_size / 50.0 end score from part)
+  select image_id, edited as edited_caption, 'left' as sub_category from p where coalesce(score, 0) >= 0.5
+  and levenshtein(list_aggregate(list_sort(string_split(prompt, '')), 'string_agg', ''), list_aggregate(list_sort(string_split(edited, '')), 'string_agg', '')) <= 5"""
+)
+def relation_negatives(spark, root):
+    return D.relation_negatives(_layouts(spark, root), 0.5).select("image_id", "edited_caption", "sub_category")
+
+
+@query(
+    """with p as (select p_partkey image_id, p_partkey % 2 = 0 relation, p_type, (p_size + 20.0) w from part)
+  select image_id, case when regexp_matches(p_type, '(?i)^([aeiou]|hon|hour|herb)') then 'an ' else 'a ' end || p_type as first_name from p
+  where (relation and abs(w * 30 - 1200) / greatest(w * 30, 1200) <= 0.5) or (not relation and w <= 60)"""
+)
+def usable_layouts(spark, root):
+    return D.usable_layouts(_layouts(spark, root)).select("image_id", F.col("bounding_boxes")[0]["name"].alias("first_name"))
+
+
+@query(
+    """with q as (select vec_id // 4 id, vec_id % 4 k, cast(embedding as double[]) e from embeddings), n as (select id from q group by 1 having count(*) = 4)
+  select a.id, cast(a.k as int) as text, cast(b.k - 2 as int) as image, round(list_cosine_similarity(a.e, b.e), 6) as score, round(100 * list_cosine_similarity(a.e, b.e), 4) as logit
+  from q a join q b on a.id = b.id join n on n.id = a.id where a.k < 2 and b.k >= 2"""
+)
+def all_scores(spark, root):
+    e = table(spark, root, "embeddings").withColumn("id", F.floor(F.col("vec_id") / 4)).withColumn("k", F.col("vec_id") % 4)
+    side = lambda lo: F.transform(F.filter("all", lambda x: (x["k"] >= lo) & (x["k"] < lo + 2)), lambda x: x["embedding"])
+    rows = e.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "embedding"))).alias("all")).filter("size(all) = 4").select("id", side(0).alias("texts"), side(2).alias("images"))
+    scored = scorers.all_scores(rows, "id", "texts", "images", "stub-cosine").withColumn("score", F.round("score", 6))
+    pairs = rows.select("id", F.posexplode("texts").alias("text", "t"), "images").select("id", "text", "t", F.posexplode("images").alias("image", "i"))
+    return scored.join(pairs.select("id", "text", "image", F.round(V.logit(F.col("t"), F.col("i")), 4).alias("logit")), ["id", "text", "image"])
+
+
+@query("select score_id, region_tifa_score as score from (select distinct score_id, tifa_score, region_tifa_score from image_scores) where tifa_score >= 0.5 and not isnan(tifa_score)")
+def cheap_first(spark, root):
+    rows = table(spark, root, "image_scores").select("score_id", "tifa_score", "region_tifa_score").distinct()
+    return scorers.cheap_first(rows, F.col("tifa_score"), 0.5, F.col("region_tifa_score")).select("score_id", "score")
+
+
+@query("select p_partkey, 6 as tiles, 448 as x0, 448 as y0 from part")
+def picture_tiles(spark, root):
+    t = G.tiles(F.lit(3), F.lit(2), 448)
+    return table(spark, root, "part").select("p_partkey", F.size(t).alias("tiles"), t[4]["x0"].alias("x0"), t[4]["y0"].alias("y0"))
