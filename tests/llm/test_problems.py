@@ -123,11 +123,7 @@ CASES = [
 
 @pytest.mark.parametrize("prompt, selected, phrase, caption, defect", CASES)
 def test_defect(prompt, selected, phrase, caption, defect):
-    import pandas as pd
-
-    batch = pd.DataFrame([[1, prompt, selected, phrase, caption]], columns=list("kispc"), dtype=object)
-    got = next(response_defects._labels("k", "i", "s", "p", "c")(iter([batch])))
-    assert (got["defect"].iloc[0] if len(got) else None) == defect
+    assert response_defects.defect_of(prompt, selected, phrase, caption) == defect
 
 
 def test_templates_that_recur_across_prompts(spark):
