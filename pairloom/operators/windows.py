@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom.operators.skew import spread_join
+from pairloom.session import materialize
 
 
 def keep_first(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
@@ -58,8 +59,12 @@ def stratified_quota(rows: DataFrame, category: str, sub: str, caps: dict[str, i
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str, start: int = 0) -> DataFrame:
-    """Rows numbered by a total order without one task that sees them all: range partitions are counted, and each adds the rows before it."""
-    tagged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    """Rows numbered by a total order without one task that sees them all.
+
+    Rows are split into ranges, which are written once, since their bounds are sampled; each range
+    is counted, and its rows are numbered from the number of rows before it.
+    """
+    tagged = materialize(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranges")
     sizes = tagged.groupBy("__p").agg(F.count("*").alias("n")).collect()  # one row per partition
     before, at = {}, start
     for r in sorted(sizes, key=lambda r: r["__p"]):
@@ -100,19 +105,38 @@ def first_perfect_else_last(rows: DataFrame, by: list[str], score: str, position
     return keep_first(rows, by, [order])
 
 
-def rolling_meter(rows: DataFrame, by: list[str], order: list[Column], value: str, size: int = 20) -> DataFrame:
-    """Lower median, mean, maximum and last of the last ``size`` values, and the mean of all so far."""
-    last = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(size - 1), 0)
-    ever = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+def rolling_meter(rows: DataFrame, by: list[str], order: list[Column], value: str, size: int = 20, block: int = 100_000) -> DataFrame:
+    """Lower median, mean, maximum and last of the last ``size`` values of a group, and the mean of all so far.
+
+    Groups are cut into blocks of ``block`` rows, so none of any size fills one task: a block also
+    gets the last rows of the one before it, and the sums of the blocks before it. ``order`` must
+    be total within a group. Null values take no part in the measures; a null group is one group.
+    """
+    block = max(block, size)
+    group = F.to_json(F.struct(*[F.col(c) for c in by]), {"ignoreNullFields": "false"})
+    placed = materialize(numbered(rows.withColumn("__g", group), [F.col("__g"), *order], "__n"), "placed")
+    first = placed.groupBy("__g").agg(F.min("__n").alias("__f"))
+    within_ = spread_join(placed, first, ["__g"]).withColumn("__n", F.col("__n") - F.col("__f")).drop("__f").withColumn("__b", F.floor(F.col("__n") / block))
+    tail = within_.filter(F.floor((F.col("__n") + size - 1) / block) > F.col("__b")).withColumn("__b", F.col("__b") + 1)
+    both = within_.withColumn("__own", F.lit(True)).unionByName(tail.withColumn("__own", F.lit(False)))
+    sums = within_.groupBy("__g", "__b").agg(F.coalesce(F.sum(value), F.lit(0.0)).alias("s"), F.count(value).alias("c"))
+    earlier = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("__g", "__b", F.coalesce(F.sum("s").over(earlier), F.lit(0.0)).alias("__s"), F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("__c"))
+
+    last = Window.partitionBy("__g", "__b").orderBy("__n").rowsBetween(-(size - 1), 0)
+    here = Window.partitionBy("__g", "__b").orderBy("__n").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.when(F.col("__own"), F.col(value))
     ranked = F.array_sort(F.collect_list(value).over(last))
-    return rows.select(
-        "*",
+    measured = both.join(before, ["__g", "__b"]).select(
+        *rows.columns,
         F.get(ranked, F.floor((F.size(ranked) - 1) / 2).cast("int")).alias("median"),
         F.avg(value).over(last).alias("window_avg"),
         F.max(value).over(last).alias("window_max"),
         F.col(value).alias("last"),
-        F.avg(value).over(ever).alias("global_avg"),
+        F.try_divide(F.col("__s") + F.coalesce(F.sum(own).over(here), F.lit(0.0)), F.col("__c") + F.count(own).over(here)).alias("global_avg"),
+        "__own",
     )
+    return measured.filter("__own").drop("__own")
 
 
 def topk_rescored(rows: DataFrame, query: str, score: str, order: list[Column], k: int, rescore: Column, missing: float = -100.0, name: str = "final_score") -> DataFrame:

@@ -130,6 +130,13 @@ def test_rolling_meter_takes_lower_median(spark):
     assert (last["median"], last["window_avg"], last["window_max"], last["last"]) == (2.0, 2.5, 4.0, 4.0)
 
 
+def test_rolling_meter_in_blocks_is_the_same(spark):
+    df = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("g"), F.when(F.col("id") % 7 > 0, (F.col("id") * 37 % 101).cast("double")).alias("v"))
+    meter = lambda block: sorted(map(str, windows.rolling_meter(df.repartition(5), ["g"], [F.col("id")], "v", 4, block).collect()))
+    one = meter(10_000)
+    assert len(one) == 300 and meter(7) == one and meter(2) == one
+
+
 def test_stratified_quota(spark):
     df = spark.createDataFrame([("a", s, i) for s in "xyz" for i in range(9)], "c string, s string, i int")
     got = windows.stratified_quota(df, "c", "s", {"a": 10}, [F.col("i")]).groupBy("s").count().collect()
@@ -146,6 +153,8 @@ def test_numbered_is_a_total_order(spark):
     df = spark.range(1000).withColumn("x", F.pmod(F.col("id") * 37, F.lit(1000))).repartition(7)
     got = windows.numbered(df, [F.col("x")], "n").collect()
     assert all(r["n"] == r["x"] for r in got) and len(got) == 1000
+    large = spark.range(300_000).withColumn("x", F.pmod(F.col("id") * 7919, F.lit(300_000))).repartition(9)
+    assert windows.numbered(large, [F.col("x")], "n").filter("n <> x").count() == 0
 
 
 def test_upserts(spark):
