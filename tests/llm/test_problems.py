@@ -102,6 +102,9 @@ CASES = [
     (EN, "a red umbrella", "a blue kite", "A tired nurse holds a blue kite behind the old museum on a rainy morning.", None),
     (EN, "a red umbrella", "a blue kite", "a tired nurse holds a blue kite behind the old museum on a rainy morning", None),
     (EN, "a red umbrella", "a blue kite", "A nurse with a blue kite.", None),
+    (EN, "a red umbrella", "a blue kite", "Tired nurse with a blue kite", None),
+    (EN, "a red umbrella", "a blue kite", "A tired nurse holds a blue kite", "truncated"),
+    (EN, "a red umbrella", "a blue kite", "A tired nurse holds a blue ki", "truncated"),
     (EN, "a red umbrella", "a blue kite", "A tired nurse holds a blue kite behind the ol", "truncated"),
     (EN, "a red umbrella", "a blue kite", "A tired nurse holds a blue kite behind the...", "truncated"),
     (EN, "a red umbrella", "a blue kite", "A tired nurse holds a", "truncated"),
