@@ -139,6 +139,25 @@ def test_templates_that_recur_across_prompts(spark):
     assert response_defects.response_defects(df.limit(0), "id", "i", "s", "p", "c").count() == 0
 
 
+def test_templates_with_a_word_that_varies(spark):
+    things, odd = "dog cat bus cow hen".split(), "lovely splendid charming pleasing tidy".split()
+    answers = {
+        "of the prompt": [f"That {w} keeps my eyes glad and none calls for another touch" for w in things],
+        "in a short answer": [f"My eyes find that {w} perfect, none lacking" for w in things],
+        "of its own": [f"That {o} scene keeps my eyes glad and none of it calls for another touch" for o in odd],
+        "put in": [f"Every {o} line pleases my eyes, none lacking" for o in (*odd[:4], "")],
+        "before free words": [f"This {o} view gives my heart peace and none of it wants work {' '.join(w + str(k) for k in range(9))}" for o, w in zip(odd, things)],
+    }
+    rows = [(f"{kind} {i}", f"{things[i]} stands beside a {things[i]}ish fence", "x", "a green kite", c) for kind, cs in answers.items() for i, c in enumerate(cs)]
+    assert all(response_defects.defect_of(*r[1:]) != "refusal" for r in rows)
+    # The words of one prompt only, and captions without a cue, are no refusals.
+    rows += [(f"one prompt {i}", "a red cart rolls by", "x", "a green kite", f"Those {o} hills make my day complete and none of them wants any more light") for i, o in enumerate(odd)]
+    rows += [(f"caption {i}", f"{w} stands beside a {w}ish fence", "x", "a green kite", f"Two {o} horses gallop over golden meadows under heavy clouds while children wave") for i, (w, o) in enumerate(zip(things, odd))]
+    df = spark.createDataFrame(rows, "id string, i string, s string, p string, c string")
+    got = {r["id"] for r in response_defects.response_defects(df, "id", "i", "s", "p", "c").filter("defect = 'refusal'").collect()}
+    assert got == {f"{kind} {i}" for kind in answers for i in range(5)}
+
+
 # --- 4: overlaps
 
 def word_distance(a, b):
