@@ -124,19 +124,21 @@ def schema_graph(docs: DataFrame, payload: str, modes: dict[str, str], names: di
 def repeated_parts(docs: DataFrame, payload: str, declared: dict[str, str], names: dict[str, tuple[str, ...]]) -> dict[str, str]:
     """Which paths are repeated and how: the declared ones, those that are lists, and objects keyed by data.
 
-    An object found to be keyed by data changes the paths below it, so the analysis is repeated
-    until no more are found; each time at least one more level is settled.
+    An object found to be keyed by data changes the paths below it, and so does a single object where
+    elsewhere is a list. The analysis is repeated until no more are found; each time at least one
+    more level is settled.
     """
     modes = dict(declared)
     while True:
-        rows = schema_graph(docs, payload, modes, names).filter("kind = 'list' or many").select("path", "kind", "many").limit(MAX_NODES + 1).collect()
+        nodes = schema_graph(docs, payload, modes, names).groupBy("path").agg(F.bool_or(F.col("kind") == "list").alias("list"), F.bool_or(F.col("kind") == "object").alias("object"), F.max("many").alias("many"))
+        rows = nodes.filter("list or many").limit(MAX_NODES + 1).collect()
         if len(rows) > MAX_NODES:
             raise ValueError(f"more than {MAX_NODES} repeated nodes")
-        maps = {r["path"] for r in rows if r["many"]} - set(modes)
-        if not maps:
-            return {r["path"]: LIST for r in rows if r["kind"] == "list"} | modes
-        top = min(p.count(".") for p in maps)
-        modes |= {p: MAP for p in maps if p.count(".") == top}
+        found = {r["path"]: MAP if r["many"] else LIST for r in rows if (r["many"] or r["object"]) and r["path"] not in modes}
+        if not found:
+            return {r["path"]: LIST for r in rows if r["list"]} | modes
+        top = min(p.count(".") + p.count("[]") for p in found)
+        modes |= {p: mode for p, mode in found.items() if p.count(".") + p.count("[]") == top}
 
 
 def _shred(key: str, payload: str, modes: dict[str, str], names: dict[str, tuple[str, ...]], wanted: frozenset[str], inline: bool):
@@ -146,6 +148,8 @@ def _shred(key: str, payload: str, modes: dict[str, str], names: dict[str, tuple
         """Singletons below a value into ``out``; repeated parts into ``below``."""
         if path in modes:
             below.append((path, value))
+            if inline and not isinstance(value, (dict, list, type(None))):  # text or a number where elsewhere is a repeated part
+                out[prefix[:-1] or "value"] = value
         elif isinstance(value, dict):
             for k, x in value.items():
                 if inline or f"{path}.{k}" in toward:
@@ -155,48 +159,47 @@ def _shred(key: str, payload: str, modes: dict[str, str], names: dict[str, tuple
 
     def rows(doc: object, text: str | None) -> Iterator[tuple]:
         try:
-            todo: list = [("$", [], decode(text))]
+            todo: list = [("$", [], decode(text), None)]
         except Unreadable:
-            yield doc, "unreadable", [], None
+            yield doc, "unreadable", [], None, None
             return
         while todo:
-            path, steps, value = todo.pop()
+            path, steps, value, parent = todo.pop()
             out: dict = {}
             below: list = []
-            if path in modes:
-                below.append((path, value))
-            else:
-                inlined(value, path, "", out, below)
+            inlined(value, path, "", out, below)
             if path in wanted:
-                yield doc, path, steps, json.dumps(out, ensure_ascii=False) if inline else None
+                yield doc, path, steps, json.dumps(out, ensure_ascii=False) if inline else None, parent
             for p, v in below:
                 at = p + ("[]" if modes[p] == LIST else ".*")
                 if at in toward:
-                    todo.extend((at, [*steps, step], x) for step, x in elements(v, modes[p], names.get(p, ())))
+                    todo.extend((at, [*steps, step], x, path) for step, x in elements(v, modes[p], names.get(p, ())))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lo in range(0, len(b), 500):  # bounds the rows held, since a payload has many elements
                 out = [r for doc, text in zip(b[key][lo : lo + 500], b[payload][lo : lo + 500]) for r in rows(doc, text)]
-                yield pd.DataFrame(out, columns=[key, "node", "steps", "inlined"])
+                yield pd.DataFrame(out, columns=[key, "node", "steps", "inlined", "parent"])
 
     return run
 
 
-def shred(docs: DataFrame, key: str, payload: str, declared: dict[str, str], names: dict[str, tuple[str, ...]], tables: list[str], inline: bool = True) -> DataFrame:
-    """One row per element of each table: key, node (the table's path), steps, inlined.
+def shred(docs: DataFrame, key: str, payload: str, declared: dict[str, str], names: dict[str, tuple[str, ...]], tables: list[str] | None, inline: bool = True) -> DataFrame:
+    """One row per element of each table: key, node (the table's path), steps, inlined, parent (the path of the table above).
 
     ``declared`` names parts known to be repeated (``list`` or ``map``); others are found by
     analysis. ``names`` gives the fields that key the elements of a map that is listed. ``tables``
-    are the element paths to emit. ``steps`` holds the position or key at each repeated part from
+    are the element paths to emit, or null for the root and every repeated part. ``steps`` holds the position or key at each repeated part from
     the root down, ``inlined`` the singletons as a JSON object, by dotted name. A payload that is
     null, blank or not complete JSON gives one row with the node ``unreadable``. Repeated rows are
     shredded each for itself; an empty table gives none.
     """
     modes = repeated_parts(docs, payload, declared, names)
+    if tables is None:
+        tables = ["$", *(p + ("[]" if mode == LIST else ".*") for p, mode in modes.items())]
     kind = docs.schema[key].dataType.simpleString()
     run = _shred(key, payload, modes, names, frozenset(tables), inline)
-    return docs.select(key, payload).mapInPandas(run, f"{key} {kind}, node string, steps array<string>, inlined string")
+    return docs.select(key, payload).mapInPandas(run, f"{key} {kind}, node string, steps array<string>, inlined string, parent string")
 
 
 def array_children(rows: DataFrame, key: str, nested: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.operators.inlining import LIST, MAP, array_children, shred
 from pairloom.session import materialize
@@ -22,6 +22,26 @@ def annotation_elements(files: DataFrame, inline: bool = True) -> DataFrame:
     return shred(files, "file_id", "payload", DECLARED, NAMES, [ANNOTATION, SCORE, QUESTION], inline)
 
 
+def every_element(files: DataFrame) -> DataFrame:
+    """The tables of the root and of every repeated part, one below the other: node tells the table, fields are its inlined columns."""
+    found = shred(files, "file_id", "payload", DECLARED, NAMES, None)
+    above = F.slice("steps", 1, F.greatest(F.size("steps") - 1, F.lit(0)))
+    return found.select(
+        "node",
+        F.xxhash64("file_id", "node", "steps").alias("element_key"),
+        F.when(F.col("parent").isNotNull(), F.xxhash64("file_id", "parent", above)).alias("parent_key"),
+        "file_id",
+        "steps",
+        _fields().alias("fields"),
+    )
+
+
+def _fields() -> Column:
+    """The inlined columns by name. Spark puts a number that is NaN or infinite between quotation marks."""
+    found = F.from_json("inlined", "map<string,string>", {"allowNonNumericNumbers": "true"})
+    return F.transform_values(found, lambda _, v: F.regexp_replace(v, '^"(NaN|-?Infinity)"$', "$1"))
+
+
 def child_rows(samples: DataFrame, files: DataFrame) -> DataFrame:
     """Every child of both tables with the keys of its parents."""
     step = lambda i: F.coalesce(F.try_element_at("steps", F.lit(i)), F.lit(""))
@@ -41,16 +61,18 @@ def child_rows(samples: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def flat_tables(samples: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
-    """Negative, annotation, score and question tables. Own and foreign keys are hashes of the steps that lead to an element, the same in every run."""
+    """Negative, annotation, score and question tables; inlined columns without a place of their own are in the map ``more``. Own and foreign keys are hashes of the steps that lead to an element, the same in every run."""
     found = materialize(annotation_elements(files), "elements")
     value = lambda name: F.get_json_object("inlined", f"$['{name}']")
     number = lambda name: value(name).try_cast("double")
     up = lambda n: F.xxhash64("file_id", F.slice("steps", 1, n))
+    more = lambda *named: F.map_filter(_fields(), lambda k, _: ~k.isin(*named)).alias("more")
     node = lambda path: found.filter(F.col("node") == path)
     pos = F.try_element_at("steps", F.lit(1)).cast("int").alias("pos")
+    own = ("edit_id", "category", "prompt", "input_phrase", "edited_phrase", "edited_caption")
     return {
         "negatives": array_children(samples, "sample_id", "negatives"),
-        "annotations": node(ANNOTATION).select(up(1).alias("annotation_key"), "file_id", pos, *(value(c).alias(c) for c in ("edit_id", "category", "prompt", "input_phrase", "edited_phrase", "edited_caption"))),
-        "scores": node(SCORE).select(up(2).alias("score_key"), up(1).alias("annotation_key"), F.col("steps")[1].alias("image_key"), number("tifa_score").alias("tifa_score"), number("region_tifa_score").alias("region_tifa_score")),
-        "questions": node(QUESTION).select(up(3).alias("question_key"), up(2).alias("score_key"), F.col("steps")[2].alias("question"), value("answer").alias("answer"), value("multiple_choice_vqa").alias("multiple_choice_vqa"), number("scores").alias("matched")),
+        "annotations": node(ANNOTATION).select(up(1).alias("annotation_key"), "file_id", pos, *(value(c).alias(c) for c in own), more(*own)),
+        "scores": node(SCORE).select(up(2).alias("score_key"), up(1).alias("annotation_key"), F.col("steps")[1].alias("image_key"), number("tifa_score").alias("tifa_score"), number("region_tifa_score").alias("region_tifa_score"), more("tifa_score", "region_tifa_score")),
+        "questions": node(QUESTION).select(up(3).alias("question_key"), up(2).alias("score_key"), F.col("steps")[2].alias("question"), value("answer").alias("answer"), value("multiple_choice_vqa").alias("multiple_choice_vqa"), number("scores").alias("matched"), more("answer", "multiple_choice_vqa", "scores")),
     }

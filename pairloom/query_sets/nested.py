@@ -38,3 +38,8 @@ def p6_scores(spark, root):
 @query()
 def p6_questions(spark, root):
     return _tables(spark, root)["questions"]
+
+
+@query()
+def p6_elements(spark, root):
+    return annotations.every_element(table(spark, root, "annotation_files"))

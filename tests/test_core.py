@@ -236,6 +236,29 @@ def test_repeated_parts_are_found(spark):
     assert json.loads(rows.filter("node = '$'").first()["inlined"]) == {"one.deep.x": 1}
 
 
+def test_every_repeated_part_has_a_table(spark):
+    one = {"edit_id": "e", "bounding_boxes": [["a dog", [1, 2]], [3]], "diffusion_params": {"steps": 5, "scale": float("nan")}, "negative_prompt": "x", "parts": {"parts": [{"n": 1}]}}
+    one["scores"] = {"p.png": {"tifa_score": 1, "note": "y", "question_details": {"q?": {"choices": ["yes", "no"], "hint": "z"}}}}
+    docs = [(1, json.dumps({"input_caption": "c", "annotations": [one]})), (2, json.dumps({"annotations": {"parts": [{"parts": [{"n": 2}]}], "scores": {"r.png": {"question_details": [{"question": "q?", "choices": "maybe"}]}}}})), (3, "{")]
+    files = spark.createDataFrame(docs, "file_id bigint, payload string")
+    rows = annotations.every_element(files).collect()
+    got = sorted((r["file_id"], r["node"], tuple(r["steps"]), r["fields"]) for r in rows if r["fields"])
+    a, q = "$.annotations[]", "$.annotations[].scores.*.question_details.*"
+    box = f"{a}.bounding_boxes[][]"
+    assert [g for g in got if "parts" not in g[1]] == sorted([
+        (1, "$", (), {"input_caption": "c"}), (1, a, ("0",), {"edit_id": "e", "diffusion_params.steps": "5", "diffusion_params.scale": "NaN", "negative_prompt": "x"}),
+        (1, box, ("0", "0", "0"), {"value": "a dog"}), (1, f"{box}[]", ("0", "0", "1", "0"), {"value": "1"}), (1, f"{box}[]", ("0", "0", "1", "1"), {"value": "2"}), (1, box, ("0", "1", "0"), {"value": "3"}),
+        (1, f"{a}.scores.*", ("0", "p.png"), {"tifa_score": "1", "note": "y"}), (1, q, ("0", "p.png", "q?"), {"hint": "z"}),
+        (1, f"{q}.choices[]", ("0", "p.png", "q?", "0"), {"value": "yes"}), (1, f"{q}.choices[]", ("0", "p.png", "q?", "1"), {"value": "no"}), (2, q, ("0", "r.png", "q?"), {"question": "q?", "choices": "maybe"}),
+    ])
+    # A list below a single object where elsewhere is a list, once in itself.
+    assert [g for g in got if "parts" in g[1]] == [(1, f"{a}.parts[].parts[]", ("0", "0", "0"), {"n": "1"}), (2, f"{a}.parts[].parts[]", ("0", "0", "0"), {"n": "2"})]
+    keys = {r["element_key"] for r in rows}
+    assert len(keys) == len(rows) and all(r["parent_key"] in keys for r in rows if r["node"] not in ("$", "unreadable"))
+    samples = spark.createDataFrame([], "sample_id bigint, negatives array<struct<edited_image_path:string>>")
+    assert annotations.flat_tables(samples, files)["annotations"].filter("file_id = 1").first()["more"] == {"diffusion_params.steps": "5", "diffusion_params.scale": "NaN", "negative_prompt": "x"}
+
+
 def test_annotation_tables_keep_their_links(spark):
     root = "/root/testdata/sf0.001"
     t = annotations.flat_tables(spark.read.parquet(f"{root}/samples.parquet"), spark.read.parquet(f"{root}/annotation_files.parquet"))
