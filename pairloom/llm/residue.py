@@ -179,11 +179,9 @@ def residue_kind(text: str | None) -> str | None:
     words = _WORD.findall(low)
     if _all_filler(words):
         return "filler"
-    if next(_automaton().iter(low), None) is None and not any(p.search(low) for p in (_LOG, _JSON_ERROR, _HTML_ERROR, _STATUS)):
-        return None
     if _JSON_ERROR.search(low) or (_HTML_ERROR.search(low) and len(words) <= MAX_STRETCH_WORDS):
         return "error"
-    matched, rest, kinds = 0, 0, {}
+    matched, rest, kinds, whole = 0, 0, {}, sum(map(len, words))
     for stretch in _STRETCH.split(_TAG.sub("\n", low)):
         own = _WORD.findall(stretch)
         size = sum(map(len, own))
@@ -200,6 +198,8 @@ def residue_kind(text: str | None) -> str | None:
             kinds[kind] = kinds.get(kind, 0) + size
         elif not _furniture(stretch, own):
             rest += size
+            if rest > MAX_REST * whole:  # whatever follows
+                return None
     if matched and rest <= MAX_REST * (matched + rest):
         return max(sorted(kinds), key=kinds.get)
     return None

@@ -344,6 +344,12 @@ def test_residue(text, kind):
     assert residue.residue_kind(text) == kind
 
 
+def test_residue_below_page_furniture():
+    assert residue.residue_kind("Home | Gallery | About\ntest test test\n(c) 2024") == "filler"
+    assert residue.residue_kind("Menu\n503") == "error"
+    assert residue.residue_kind("Menu\n503\n" + "One cat sleeps on a mat. " * 3) is None
+
+
 def test_residue_rows(spark):
     df = spark.createDataFrame([(1, "TBD."), (1, "TBD."), (2, None), (3, "word " * 200_000), (4, "a." * 100_000), (5, "«" * 20_000 + "{" * 20_000)], "id bigint, text string").withColumn("kind", F.lit(1))
     assert [(r["id"], r["kind"]) for r in residue.flag_residue(df, "id", "text").filter("id < 3").collect()] == [(1, "filler")] * 2
