@@ -158,6 +158,12 @@ def test_templates_with_a_word_that_varies(spark):
     assert got == {f"{kind} {i}" for kind in answers for i in range(5)}
 
 
+def test_prompts_with_a_common_beginning_differ(spark):
+    rows = [(i, f"There is a man in the {w}", "x", "a green kite", "My eyes find every part perfect, none lacking") for i, w in enumerate("park house river".split())]
+    df = spark.createDataFrame(rows, "id bigint, i string, s string, p string, c string")
+    assert {r["id"] for r in response_defects.response_defects(df, "id", "i", "s", "p", "c").filter("defect = 'refusal'").collect()} == {0, 1, 2}
+
+
 # --- 4: overlaps
 
 def word_distance(a, b):
