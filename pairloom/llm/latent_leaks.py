@@ -2,9 +2,10 @@
 
 Method: latent semantic retrieval. Documents are cut into overlapping passages; a randomised SVD of
 their TF-IDF matrix, computed distributedly, gives a latent space; every passage is compared by
-cosine with every window of the evaluation texts (a stated query set, in blocks), and a candidate
-is then checked exactly: by its longest common run of words for verbatim leaks, or by its longest
-common subsequence for paraphrases.
+cosine with every window of the evaluation texts (a stated query set, in blocks), and the pairs of
+passage and window that are near enough are then checked one by one: by their longest common run of
+words for verbatim leaks; by the longest common subsequence, and whether the item's answer stands
+there too, for paraphrases.
 
 Passages have ``2 * STEP`` words and start every ``STEP`` words, so each run of ``STEP + 1`` words
 or fewer lies whole in one of them, and so do the windows of the evaluation texts. Document
@@ -24,19 +25,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.operators.skew import within
 from pairloom.session import materialize
 
 STEP = 10
 #: Hashed vocabulary, dimensions of the latent space, extra directions of the random projection.
 TERMS = 1 << 15
-RANK = 24
+RANK = 64
 EXTRA = 8
-FIT_WORDS = 20_000_000
-#: Least cosine of a candidate passage; tests measure the recall against brute force.
-MIN_COSINE = 0.1
-#: The evaluation texts are held whole by each task; more than these are refused.
-MAX_ITEMS = 50_000
+FIT_WORDS = 2_000_000
+#: Least cosine of a candidate, for verbatim runs and for paraphrases; the README has the recall against brute force by its value.
+MIN_COSINE = 0.45
+PARAPHRASE_COSINE = 0.7
+#: Characters of evaluation texts that are searched for in one pass over the corpus; more take several passes.
+BLOCK_CHARS = 8_000_000
 #: Words handled at a time, which bounds a task's memory.
 CHUNK = 60_000
 #: Cosines held at a time.
@@ -213,6 +214,7 @@ class LatentIndex:
         self.basis = self._fit()
 
     def _fit(self) -> np.ndarray:
+        """Random directions, orthonormalised after one pass, and turned by the eigenvectors of the second pass's small matrix."""
         share = min(1.0, FIT_WORDS / max(self.words, 1))
         sample = self.tokens if share == 1 else self.tokens.filter(F.pmod(F.xxhash64(F.lit("fit"), self.key), F.lit(1 << 20)) < int(share * (1 << 20)))
         parts = sample.select("t").mapInArrow(_range_pass(self.idf), "term int, v binary").repartition("term").mapInArrow(_combine, "term int, v binary")
@@ -233,88 +235,145 @@ def _windows(words: list[str], width: int) -> list[list[str]]:
     return [words[i : i + width] for i in sorted({*range(0, last, STEP), last})]
 
 
-def _run_hash(terms: np.ndarray, run: int) -> np.ndarray:
-    """Hash of each run of ``run`` consecutive terms, by its start."""
-    n = len(terms) - run + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    for i in range(run):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + terms[i : i + n].astype(np.uint64) + np.uint64(1)
-    return out
-
-
-def leaked(index: LatentIndex, items: list[tuple[str, str]], run: int = STEP) -> DataFrame:
+class _Queries:
+    """A block of evaluation texts, prepared for the tasks: their windows in the latent space and as terms."""
+
+    def __init__(self, basis: np.ndarray, texts: list[list[str]], run: int = 0):
+        self.texts = texts
+        of: dict[tuple[str, ...], set[int]] = {}
+        for s, words in enumerate(texts):
+            for w in _windows(words, 2 * STEP):
+                of.setdefault(tuple(w), set()).add(s)
+        self.windows, self.owners = list(of), [sorted(x) for x in of.values()]
+        self.latent = _unit(np.array([basis[[_term(x) for x in w]].sum(0) for w in self.windows], np.float32)).T.copy() if of else np.zeros((basis.shape[1], 0), np.float32)
+        self.terms = np.full((len(of), 2 * STEP), -1, np.int32)
+        for i, w in enumerate(self.windows):
+            self.terms[i, : len(w)] = [_term(x) for x in w]
+        self.bits = _bits(self.terms)
+        # Bits that a passage has in common with a window at least if they share a run.
+        each = np.where(self.terms >= 0, np.uint64(1) << (self.terms.astype(np.int64) % 64).astype(np.uint64), np.uint64(0))
+        starts = range(2 * STEP - run + 1)
+        least = np.array([np.bitwise_count(np.bitwise_or.reduce(each[:, i : i + run], axis=1)) for i in starts]) if run else np.zeros((1, len(of)), np.uint8)
+        whole = np.array([(self.terms[:, i : i + run] >= 0).all(1) for i in starts]) if run else np.ones((1, len(of)), bool)
+        self.least = np.where(whole, least, 65).min(0).astype(np.uint8)
+        self.rows_at_once = max(16, CELLS // max(1, len(of)))
+
+    def candidates(self, unit: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (passage, window) with a cosine of at least ``least``."""
+        for lo in range(0, len(unit), self.rows_at_once):
+            p, w = np.nonzero(unit[lo : lo + self.rows_at_once] @ self.latent >= least)
+            if len(p):
+                yield p + lo, w
+
+
+def _bits(terms: np.ndarray) -> np.ndarray:
+    """A set of 64 bits for each row of terms; a negative term is none."""
+    each = np.where(terms >= 0, np.uint64(1) << (terms.astype(np.int64) % 64).astype(np.uint64), np.uint64(0))
+    return np.bitwise_or.reduce(each, axis=1)
+
+
+def _passage_terms(words: np.ndarray, start: np.ndarray, doc: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The terms of each passage; -2 beyond its document's end."""
+    at = start[:, None] + np.arange(2 * STEP)
+    inside = at < np.cumsum(size)[doc][:, None]
+    return np.where(inside, words[np.minimum(at, len(words) - 1)], -2).astype(np.int32)
+
+
+def _may_share(a: np.ndarray, b: np.ndarray, run: int) -> np.ndarray:
+    """Which rows of two term matrices may share a run: one of at least ``STEP`` terms holds the half run before or after the middle of ``a``."""
+    if run < STEP:
+        return np.ones(len(a), bool)
+    half = run // 2
+    found = np.zeros(len(a), bool)
+    for first in (STEP - half, STEP):
+        held = b[:, : 2 * STEP - half + 1] == a[:, first, None]
+        for k in range(1, half):
+            held &= b[:, k : 2 * STEP - half + 1 + k] == a[:, first + k, None]
+        found |= held.any(1)
+    return found
+
+
+def _common_runs(a: np.ndarray, b: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of two term matrices that share a run of ``run`` terms: row, and its start on either side, each place once."""
+    same = a[:, :, None] == b[:, None, :]
+    done, held = 1, same
+    while done < run:  # held: runs of ``done`` terms begin here; each step doubles them as far as it may
+        more = min(done, run - done)
+        longer = np.zeros_like(held)
+        longer[:, : -more, : -more] = held[:, : -more, : -more] & held[:, more:, more:]
+        held, done = longer, done + more
+    return np.nonzero(held)
+
+
+def leaked(index: LatentIndex, items: DataFrame, name: str, texts: list[str], run: int = STEP, min_cosine: float = MIN_COSINE) -> DataFrame:
     """Pairs (document, item) where both share a run of at least ``run`` consecutive words.
 
-    ``items`` are (id, text); an id may come with several texts. Texts of fewer words than a run
-    have no pairs. Null texts match nothing. Each pair comes once.
+    Candidates are the pairs of a passage and a window of an item with a cosine of ``min_cosine``
+    or more in the latent space; of these, and only these, the longest common run of words is
+    looked at. ``items`` has the id ``name`` and text columns ``texts``; an id may come with several texts.
+    Texts of fewer words than a run, null ids and null texts have no pairs. Each pair comes once.
     """
     if run > STEP + 1:
         raise ValueError("a run must fit into a passage whatever its start")
-    key, basis, least = index.key, index.basis, MIN_COSINE
-    texts: dict[tuple[str, ...], set[str]] = {}
-    for name, text in items:
-        if len(words := clean_words(text)) >= run:
-            texts.setdefault(tuple(words), set()).add(name)
-    seqs = list(texts)
-    window_of: dict[tuple[str, ...], int] = {}
-    runs: dict[int, list[tuple[tuple[str, ...], int, int]]] = {}  # run hash -> (run, window, text)
-    for s, words in enumerate(seqs):
-        for w in _windows(list(words), 2 * STEP):
-            at = window_of.setdefault(tuple(w), len(window_of))
-            terms = np.array([_term(x) for x in w])
-            for i, h in enumerate(_run_hash(terms, run).tolist()):
-                runs.setdefault(h, []).append((tuple(w[i : i + run]), at, s))
-    if not runs:
-        return index.tokens.limit(0).select(key, F.lit("").alias("item"))
-    queries = _unit(np.array([basis[[_term(x) for x in w]].sum(0) for w in window_of], np.float32)).T.copy()
-    known = np.array(sorted(runs), np.uint64)
-    names = [sorted(texts[s]) for s in seqs]
-    rows_at_once = max(16, CELLS // queries.shape[1])
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found: set[tuple[int, str]] = set()
-            split: dict[int, list[str]] = {}  # words of documents with a hit
-            for place, first, size, words in _chunks(b.column(2)):
-                start, doc, follows = _blocks(size)
-                unit = _unit(_passages(basis, words, start, follows))
-                hashes = _run_hash(words, run)
-                offset = np.cumsum(size) - size
-                for lo in range(0, len(start), rows_at_once):
-                    cosine = unit[lo : lo + rows_at_once] @ queries
-                    candidate = np.flatnonzero(cosine.max(1) >= least)
-                    # Starts of runs inside candidate passages.
-                    begin = start[lo + candidate]
-                    starts = (begin[:, None] + np.arange(STEP)).ravel()
-                    of = np.repeat(candidate, STEP)
-                    ok = starts < len(hashes)
-                    starts, of = starts[ok], of[ok]
-                    h = hashes[starts]
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    for i in np.flatnonzero(known[at] == h):
-                        p = int(of[i])
-                        d = int(doc[lo + p])
-                        row, inner = int(place[d]), int(starts[i] - offset[d])
-                        if inner + run > size[d]:  # it goes on in the next piece
-                            continue
-                        inner += int(first[d])
-                        if row not in split:
-                            split[row] = b.column(1)[row].as_py().split(" ")
-                        text = tuple(split[row][inner : inner + run])
-                        found.update((row, n) for seq, w, s in runs[int(h[i])] if seq == text and cosine[p, w] >= least for n in names[s])
-            hits = sorted(found)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r for r, _ in hits], pa.int64())), pa.array([n for _, n in hits], pa.string())], [key, "item"])
-
+    key, spark = index.key, index.tokens.sparkSession
     kind = f"{key} {index.tokens.schema[key].dataType.simpleString()}, item string"
-    return index.tokens.select(key, "norm", "t").mapInArrow(search, kind)
+    basis = spark.sparkContext.broadcast(index.basis)
+
+    def search_for(block):
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q, names = block.value
+            for b in batches:
+                found: set[tuple[int, str]] = set()
+                split: dict[int, list[str]] = {}  # words of documents with a hit
+                for place, first, size, words in _chunks(b.column(2)):
+                    start, doc, follows = _blocks(size)
+                    unit = _unit(_passages(basis.value, words, start, follows))
+                    terms = _passage_terms(words, start, doc, size)
+                    bits = _bits(terms)
+                    offset = np.cumsum(size) - size
+                    for ps, ws in q.candidates(unit, min_cosine):
+                        near = np.bitwise_count(bits[ps] & q.bits[ws]) >= q.least[ws]
+                        ps, ws = ps[near], ws[near]
+                        near = _may_share(terms[ps], q.terms[ws], run)
+                        ps, ws = ps[near], ws[near]
+                        for lo in range(0, len(ps), CELLS // (4 * STEP * STEP)):
+                            p, w = ps[lo : lo + CELLS // (4 * STEP * STEP)], ws[lo : lo + CELLS // (4 * STEP * STEP)]
+                            for pair, i, j in zip(*(x.tolist() for x in _common_runs(terms[p], q.terms[w], run))):
+                                at, window = int(p[pair]), int(w[pair])
+                                d = int(doc[at])
+                                row, inner = int(place[d]), int(first[d] + start[at] - offset[d]) + i
+                                if row not in split:
+                                    split[row] = b.column(1)[row].as_py().split(" ")
+                                if tuple(split[row][inner : inner + run]) == q.windows[window][j : j + run]:
+                                    found.update((row, n) for s in q.owners[window] for n in names[s])
+                hits = sorted(found)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r for r, _ in hits], pa.int64())), pa.array([n for _, n in hits], pa.string())], [key, "item"])
+
+        return search
+
+    out = spark.createDataFrame([], kind)
+    for rows in item_blocks(items, name, texts):
+        owners: dict[tuple[str, ...], set[str]] = {}
+        for n, *said in rows:
+            for text in said:
+                if len(words := clean_words(text)) >= run:
+                    owners.setdefault(tuple(words), set()).add(str(n))
+        if owners:
+            block = spark.sparkContext.broadcast((_Queries(index.basis, [list(w) for w in owners], run), [sorted(x) for x in owners.values()]))
+            out = out.unionByName(index.tokens.select(key, "norm", "t").mapInArrow(search_for(block), kind))
+    return out
 
 
-def collect_items(items: DataFrame, key: str, texts: list[str]) -> list[tuple[str, str]]:
-    """The evaluation set on the driver; its size is checked first. Null ids and texts are left out."""
-    if not within(items, MAX_ITEMS):
-        raise ValueError(f"more than {MAX_ITEMS} evaluation items")
-    rows = items.select(key, *texts).collect()
-    return [(r[key], r[t]) for r in rows for t in texts if r[key] is not None and r[t]]
+def item_blocks(items: DataFrame, name: str, texts: list[str]) -> Iterator[list[tuple]]:
+    """The evaluation texts in blocks of about ``BLOCK_CHARS`` characters, by a hash of the id, which hold the driver and the tasks to that size.
+
+    Each block is a list of (id, text, ...). Null ids are left out. An id that is repeated comes as often.
+    """
+    rows = items.filter(F.col(name).isNotNull()).select(name, *texts)
+    size = rows.agg(F.sum(sum((F.coalesce(F.length(t), F.lit(0)) for t in texts), F.lit(0)))).first()[0] or 0
+    n = -(-size // BLOCK_CHARS)
+    for b in range(n):
+        yield [tuple(r) for r in (rows if n == 1 else rows.filter(F.pmod(F.xxhash64(F.col(name)), F.lit(n)) == b)).collect()]
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
@@ -331,51 +390,64 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(a) - free.bit_count()
 
 
-def paraphrased(index: LatentIndex, items: list[tuple[str, str]], min_cosine: float = 0.9, share: float = 0.8) -> DataFrame:
-    """Pairs (document, item, lcs_permille): a passage as long as the item keeps its word order but for a few words.
+def _answers(said: list[list[str]]) -> list[set[str]]:
+    """The words of each text of an item that none of its other texts has: what tells them apart, and so answers the item."""
+    return [set(a).difference(*(b for b in said if b != a)) for a in said]
+
 
-    Candidates are passages with a cosine of ``min_cosine`` or more to a window of the item;
-    around each, the words of the document as many as the item has on either side are compared by
-    the longest common subsequence, which must hold ``share`` of the item's words. Of several
-    passages the best counts.
+def paraphrased(index: LatentIndex, items: DataFrame, name: str, texts: list[str], min_cosine: float = PARAPHRASE_COSINE, share: float = 0.8) -> DataFrame:
+    """Pairs (document, item, lcs_permille, answered): a passage as long as a text of the item keeps its word order but for a few words.
+
+    Candidates are passages with a cosine of ``min_cosine`` or more to a window of the text;
+    around each, the words of the document as many as the text has on either side are compared by
+    the longest common subsequence, which must hold ``share`` of the text's words. Of several
+    passages and texts the best counts. ``answered`` tells whether, in one of these passages, all the words
+    stand by which that text differs from the item's other texts, so that the answer leaked too;
+    a text that differs by no word is never answered. Texts of fewer than five words are left out.
     """
-    key, basis = index.key, index.basis
-    windows, owner = [], []
-    seqs = [(n, w) for n, t in items if len(w := clean_words(t)) >= 5]
-    for s, (_, words) in enumerate(seqs):
-        for w in _windows(words, 2 * STEP):
-            windows.append(basis[[_term(x) for x in w]].sum(0))
-            owner.append(s)
-    kind = f"{key} {index.tokens.schema[key].dataType.simpleString()}, item string, lcs_permille int"
-    if not windows:
-        return index.tokens.sparkSession.createDataFrame([], kind)
-    queries, owners = _unit(np.array(windows, np.float32)).T.copy(), np.array(owner)
-    rows_at_once = max(16, CELLS // queries.shape[1])
-    sets = [set(w) for _, w in seqs]
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            best: dict[tuple[int, str], int] = {}
-            split: dict[int, list[str]] = {}  # words of documents with a candidate
-            for place, first, size, words in _chunks(b.column(2)):
-                start, doc, follows = _blocks(size)
-                unit = _unit(_passages(basis, words, start, follows))
-                offset = np.cumsum(size) - size
-                for lo in range(0, len(start), rows_at_once):
-                    cosine = unit[lo : lo + rows_at_once] @ queries
-                    for p, q in {(int(p), int(owners[q])) for p, q in zip(*np.nonzero(cosine >= min_cosine))}:
-                        d, (name, item) = int(doc[lo + p]), seqs[q]
-                        row, inner = int(place[d]), int(first[d] + start[lo + p] - offset[d])
-                        if row not in split:
-                            split[row] = b.column(1)[row].as_py().split(" ")
-                        near = split[row][max(0, inner - len(item)) : inner + 2 * STEP + len(item)]
-                        if len(sets[q].intersection(near)) < share * len(sets[q]):  # no subsequence can be long enough
-                            continue
-                        permille = 1000 * lcs_length(item, near) // len(item)
-                        if permille >= 1000 * share:
-                            best[row, name] = max(permille, best.get((row, name), 0))
-            hits = sorted(best)
-            columns = [b.column(0).take(pa.array([r for r, _ in hits], pa.int64())), pa.array([n for _, n in hits], pa.string()), pa.array([best[h] for h in hits], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, [key, "item", "lcs_permille"])
-
-    return index.tokens.select(key, "norm", "t").mapInArrow(search, kind).groupBy(key, "item").agg(F.max("lcs_permille").alias("lcs_permille"))
+    key, spark = index.key, index.tokens.sparkSession
+    kind = f"{key} {index.tokens.schema[key].dataType.simpleString()}, item string, lcs_permille int, answered boolean"
+    basis = spark.sparkContext.broadcast(index.basis)
+
+    def search_for(block):
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q, names, answers = block.value
+            sets = [set(w) for w in q.texts]
+            for b in batches:
+                best: dict[tuple[int, str], tuple[int, bool]] = {}
+                split: dict[int, list[str]] = {}  # words of documents with a candidate
+                for place, first, size, words in _chunks(b.column(2)):
+                    start, doc, follows = _blocks(size)
+                    unit = _unit(_passages(basis.value, words, start, follows))
+                    offset = np.cumsum(size) - size
+                    for ps, ws in q.candidates(unit, min_cosine):
+                        for p, s in {(p, s) for p, w in zip(ps.tolist(), ws.tolist()) for s in q.owners[w]}:
+                            d, item = int(doc[p]), q.texts[s]
+                            row, inner = int(place[d]), int(first[d] + start[p] - offset[d])
+                            if row not in split:
+                                split[row] = b.column(1)[row].as_py().split(" ")
+                            near = split[row][max(0, inner - len(item)) : inner + 2 * STEP + len(item)]
+                            if len(sets[s].intersection(near)) < share * len(sets[s]):  # no subsequence can be long enough
+                                continue
+                            permille = 1000 * lcs_length(item, near) // len(item)
+                            if permille >= 1000 * share:
+                                had, right = best.get((row, names[s]), (0, False))
+                                best[row, names[s]] = max(permille, had), right or (bool(answers[s]) and answers[s].issubset(near))
+                hits = sorted(best)
+                columns = [b.column(0).take(pa.array([r for r, _ in hits], pa.int64())), pa.array([n for _, n in hits], pa.string()), pa.array([best[h][0] for h in hits], pa.int32()), pa.array([best[h][1] for h in hits], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, [key, "item", "lcs_permille", "answered"])
+
+        return search
+
+    out = spark.createDataFrame([], kind)
+    for rows in item_blocks(items, name, texts):
+        seqs, names, answers = [], [], []
+        for n, *said in rows:
+            said = [clean_words(t) for t in said]
+            for words, own in zip(said, _answers(said)):
+                if len(words) >= 5:
+                    seqs.append(words), names.append(str(n)), answers.append(own)
+        if seqs:
+            block = spark.sparkContext.broadcast((_Queries(index.basis, seqs), names, answers))
+            out = out.unionByName(index.tokens.select(key, "norm", "t").mapInArrow(search_for(block), kind))
+    return out.groupBy(key, "item").agg(F.max("lcs_permille").alias("lcs_permille"), F.max("answered").alias("answered"))

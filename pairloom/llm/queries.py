@@ -90,19 +90,16 @@ def p5_groups(spark: SparkSession, root: str) -> DataFrame:
     return _collapsed(spark, root)[0].select(F.col("keep").alias("keep_id"), "copies")
 
 
-def _index(spark: SparkSession, root: str) -> tuple[latent_leaks.LatentIndex, list[tuple[str, str]]]:
-    items = latent_leaks.collect_items(table(spark, root, "bench_pairs"), "id", ["caption_0", "caption_1"])
-    return latent_leaks.LatentIndex(table(spark, root, "documents"), "doc_id", "text"), items
+def _index(spark: SparkSession, root: str) -> latent_leaks.LatentIndex:
+    return latent_leaks.LatentIndex(table(spark, root, "documents"), "doc_id", "text")
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
-    index, items = _index(spark, root)
-    return latent_leaks.leaked(index, items).withColumnRenamed("item", "bench_id")
+    return latent_leaks.leaked(_index(spark, root), table(spark, root, "bench_pairs"), "id", ["caption_0", "caption_1"]).withColumnRenamed("item", "bench_id")
 
 
 def p7_paraphrases(spark: SparkSession, root: str) -> DataFrame:
-    index, items = _index(spark, root)
-    return latent_leaks.paraphrased(index, items).withColumnRenamed("item", "bench_id")
+    return latent_leaks.paraphrased(_index(spark, root), table(spark, root, "bench_pairs"), "id", ["caption_0", "caption_1"]).withColumnRenamed("item", "bench_id")
 
 
 def _mix(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

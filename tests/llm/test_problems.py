@@ -280,24 +280,58 @@ def test_leaks_are_complete(spark, monkeypatch, chunk):
     docs += [(900, None), (901, ""), (902, "  "), (903, docs[3][1])]
     df = spark.createDataFrame(docs, "id bigint, text string").withColumn("norm", F.lit(1)).withColumn("t", F.lit(1)).withColumn("item", F.lit(1))
     index = latent_leaks.LatentIndex(df, "id", "text")
-    got = {(x["id"], x["item"]) for x in latent_leaks.leaked(index, items).collect()}
-    assert got == leaked_by_brute_force(docs, items) and len(got) > 20
+    tests = spark.createDataFrame([*items, ("b1", None), (None, docs[4][1])], "name string, said string")
+    found = lambda **k: {(x["id"], x["item"]) for x in latent_leaks.leaked(index, tests, "name", ["said"], **k).collect()}
+    want = leaked_by_brute_force(docs, items)
+    assert found(min_cosine=-1.0) == want and len(want) > 20
+    # The rows are of the latent search: what isn't near by it isn't found.
+    got = found()
+    assert got <= want and len(got) >= 0.9 * len(want)
+    assert len(found(min_cosine=0.9)) < len(got)
+    monkeypatch.setattr(latent_leaks, "BLOCK_CHARS", 2_000)
+    assert found() == got
+
+
+def test_leaks_in_the_test_tables(spark):
+    """Recall of at least 0.9 at the production threshold, by which most pairs of passage and window are no candidates."""
+    docs, pairs = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/bench_pairs.parquet")
+    index = latent_leaks.LatentIndex(docs, "doc_id", "text")
+    got = {(x["doc_id"], x["item"]) for x in latent_leaks.leaked(index, pairs, "id", ["caption_0", "caption_1"]).collect()}
+    want = leaked_by_brute_force([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["id"], r[c]) for r in pairs.collect() for c in ("caption_0", "caption_1")])
+    assert got <= want and len(got) >= 0.9 * len(want)
+    said = [latent_leaks.clean_words(r[c]) for r in pairs.collect() for c in ("caption_0", "caption_1")]
+    q = latent_leaks._Queries(index.basis, said, latent_leaks.STEP)
+    rows = [np.array([latent_leaks._term(w) for w in latent_leaks.clean_words(r["text"])[:20]]) for r in docs.collect() if r["text"] and r["text"].strip()]
+    unit = latent_leaks._unit(np.array([index.basis[r].sum(0) for r in rows if len(r)], np.float32))
+    assert sum(len(p) for p, _ in q.candidates(unit, latent_leaks.MIN_COSINE)) < 0.2 * len(unit) * len(q.windows)
+
+
+def test_common_runs():
+    r = np.random.default_rng(3)
+    a, b = r.integers(0, 3, (300, 20)), r.integers(0, 3, (300, 20))
+    b[:150, 4:15], a[:150, 3:14] = b[:150, 4:15], b[:150, 4:15]
+    want = {(i, x, y) for i in range(300) for x in range(11) for y in range(11) if (a[i, x : x + 10] == b[i, y : y + 10]).all()}
+    assert set(zip(*(v.tolist() for v in latent_leaks._common_runs(a, b, 10)))) == want and len(want) >= 300
+    assert set(np.flatnonzero(latent_leaks._may_share(a, b, 10)).tolist()) >= {i for i, _, _ in want}
 
 
 def test_paraphrases_by_subsequence(spark):
     item = "the old nurse holds a red umbrella behind the museum on a rainy day in late may near us all"
-    docs = [(1, "so " + item.replace("red", "blue").replace("rainy", "sunny") + " then"), (2, "nothing of the kind is said here"), (3, None)]
+    other = item.replace("umbrella", "kite")
+    docs = [(1, "so " + item.replace("red", "blue").replace("rainy", "sunny") + " then"), (2, "nothing of the kind is said here"), (3, None), (4, item.replace("umbrella", "hat").replace("rainy", "dry"))]
     index = latent_leaks.LatentIndex(spark.createDataFrame(docs, "id bigint, text string"), "id", "text")
-    got = latent_leaks.paraphrased(index, [("x", item)], min_cosine=0.5).collect()
-    assert [(x["id"], x["item"]) for x in got] == [(1, "x")] and got[0]["lcs_permille"] >= 800
+    tests = spark.createDataFrame([("x", item, other), ("y", None, "too short")], "name string, a string, b string")
+    got = latent_leaks.paraphrased(index, tests, "name", ["a", "b"]).collect()
+    assert sorted((x["id"], x["item"], x["answered"]) for x in got) == [(1, "x", True), (4, "x", False)] and min(x["lcs_permille"] for x in got) >= 800
     assert latent_leaks.lcs_length("a b c d".split(), "b x d".split()) == 2
 
 
 def test_leaks_of_nothing(spark):
     df = spark.createDataFrame([], "id bigint, text string")
     index = latent_leaks.LatentIndex(df, "id", "text")
-    assert latent_leaks.leaked(index, [("a", " ".join(map(str, range(20))))]).count() == 0
-    assert latent_leaks.leaked(index, []).count() == 0 and latent_leaks.paraphrased(index, []).count() == 0
+    tests = spark.createDataFrame([("a", " ".join(map(str, range(20))))], "name string, said string")
+    assert latent_leaks.leaked(index, tests, "name", ["said"]).count() == 0
+    assert latent_leaks.leaked(index, tests.limit(0), "name", ["said"]).count() == 0 and latent_leaks.paraphrased(index, tests.limit(0), "name", ["said"]).count() == 0
 
 
 # --- 8: mixing
@@ -375,8 +409,8 @@ def test_batches_without_hits(spark):
     """Partitions and batches that find nothing give typed empty columns."""
     docs = spark.createDataFrame([(i, "nothing of the kind is said here, nor there") for i in range(8)], "id bigint, text string").repartition(6)
     index = latent_leaks.LatentIndex(docs, "id", "text")
-    items = [("x", " ".join(f"word{i}" for i in range(30)))]
-    assert latent_leaks.leaked(index, items).count() == 0 and latent_leaks.paraphrased(index, items).count() == 0
+    items = spark.createDataFrame([("x", " ".join(f"word{i}" for i in range(30)))], "name string, said string")
+    assert latent_leaks.leaked(index, items, "name", ["said"]).count() == 0 and latent_leaks.paraphrased(index, items, "name", ["said"]).count() == 0
     assert residue.flag_residue(docs, "id", "text").count() == 0
     answers = docs.select("id", F.lit(EN).alias("i"), F.lit("a red umbrella").alias("s"), F.lit("a kite").alias("p"), F.lit("A tired nurse holds a kite.").alias("c"))
     assert response_defects.response_defects(answers, "id", "i", "s", "p", "c").count() == 0
