@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -58,7 +60,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(?:\[[^\]]*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="pairloom-")
     spark.conf.set("spark.checkpoint.dir", path)
@@ -95,9 +97,15 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt_out(df: DataFrame) -> DataFrame:
+    """``df`` on as many tasks as there are cores, if a scan has fewer; for costly work on each row. Larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:
-        pass
+    except Exception as e:  # the driver may be ending; what is left in the shared folder must not hide another error
+        logging.getLogger(__name__).warning("could not delete %s: %s", path, e)
