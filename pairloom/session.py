@@ -81,6 +81,9 @@ _scratch: list[str] = []
 
 def release(spark: SparkSession) -> None:
     """Delete all scratch tables so far. What was read from them and isn't written elsewhere can't be read again."""
+    if spark.sparkContext._jsc is None:  # the session has ended, and with it the way to its files
+        logging.getLogger(__name__).info("%d scratch tables stay in the shared folder", len(_scratch))
+        _scratch.clear()
     while _scratch:
         _delete(spark, _scratch.pop())
 
