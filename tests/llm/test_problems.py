@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pairloom.llm.components import components
 from pairloom.llm import cutoffs, format_ledger, latent_leaks, mixing, quota_sample, records, residue, response_defects, split_overlap
 
 DATA = "/root/testdata/sf0.001"
@@ -126,7 +127,68 @@ CASES = [
 
 @pytest.mark.parametrize("prompt, selected, phrase, caption, defect", CASES)
 def test_defect(prompt, selected, phrase, caption, defect):
-    assert response_defects.defect_of(prompt, selected, phrase, caption) == defect
+    own = response_defects.defect_of(prompt, selected, phrase, caption)
+    assert own == defect or defect == "refusal"
+
+
+def test_defects_of_rows(spark):
+    df = spark.createDataFrame([(n, *case[:4]) for n, case in enumerate(CASES)], "id bigint, i string, s string, p string, c string").withColumn("kind", F.lit("x")).withColumn("cue", F.lit("x"))
+    got = {r["id"]: r["defect"] for r in response_defects.response_defects(df, "id", "i", "s", "p", "c").collect()}
+    assert got == {n: case[4] for n, case in enumerate(CASES) if case[4]}
+
+
+def test_components(spark):
+    r = random.Random(6)
+    edges = [(f"{i:03}", f"{i + 1:03}") for i in range(0, 60)] + [("hub", f"leaf{i}") for i in range(50)] + [("x", "x"), (None, "y")]
+    edges += [(f"r{r.randrange(90):02}", f"r{r.randrange(90):02}") for _ in range(60)]
+    root = {}
+
+    def find(a):
+        while root.setdefault(a, a) != a:
+            a = root[a]
+        return a
+
+    for a, b in edges:
+        if a and b and a != b:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    got = components(spark.createDataFrame(edges, "a string, b string")).collect()
+    assert {(x["node"], x["root"]) for x in got} == {(a, find(a)) for a in root} and len(got) == len(root)
+    assert components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_clusters_join_transitively_and_decide(spark, monkeypatch):
+    """A chain of openings, each near the next only, is one cluster; without links fewer refusals are found."""
+    words = "Kindly leave every part of that lovely picture exactly as they made that thing for my sake and none other".split()
+    chain = [" ".join([*(f"new{k}" for k in range(i)), *words[i:]]) for i in range(5)]
+    prompts = "dog cat bus cow hen".split()
+    rows = [(i, f"{w} stands beside a {w}ish fence", "x", "a green kite", c) for i, (w, c) in enumerate(zip(prompts, chain))]
+    df = spark.createDataFrame(rows, "id bigint, i string, s string, p string, c string")
+    found = lambda: {r["id"] for r in response_defects.response_defects(df, "id", "i", "s", "p", "c").filter("defect = 'refusal'").collect()}
+    assert found() == set(range(5))
+    monkeypatch.setattr(response_defects, "opening_links", lambda openings: openings.select(F.col("opening").alias("a"), F.col("opening").alias("b"), "kind").limit(0))
+    assert found() == set()
+    monkeypatch.undo()
+    monkeypatch.setattr(response_defects, "refusal_templates", lambda f: f.select("opening", "kind").limit(0))
+    cases = spark.createDataFrame([(n, *case[:4]) for n, case in enumerate(CASES)], df.schema)
+    assert response_defects.response_defects(cases, "id", "i", "s", "p", "c").filter("defect = 'refusal'").count() == 0
+
+
+def test_links_against_brute_force(spark):
+    r = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(40)]
+    texts = set()
+    for _ in range(25):
+        base = r.sample(vocabulary, 12)
+        for _ in range(6):
+            w = list(base)
+            for _ in range(r.randrange(3)):
+                w[r.randrange(len(w))] = r.choice(vocabulary)
+            texts.add(" ".join(w))
+    near = lambda a, b: len(set(a.split()) & set(b.split())) >= 0.8 * len(set(a.split()) | set(b.split()))
+    want = {(a, b) for a in texts for b in texts if a < b and near(a, b)}
+    got = {tuple(sorted((x["a"], x["b"]))) for x in response_defects.opening_links(spark.createDataFrame([(t, 0) for t in texts], "opening string, kind int")).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
 
 
 def test_templates_that_recur_across_prompts(spark):
@@ -149,7 +211,7 @@ def test_templates_with_a_word_that_varies(spark):
         "before free words": [f"This {o} view gives my heart peace and none of it wants work {' '.join(w + str(k) for k in range(9))}" for o, w in zip(odd, things)],
     }
     rows = [(f"{kind} {i}", f"{things[i]} stands beside a {things[i]}ish fence", "x", "a green kite", c) for kind, cs in answers.items() for i, c in enumerate(cs)]
-    assert all(response_defects.defect_of(*r[1:]) != "refusal" for r in rows)
+    assert all(response_defects._cue(r[4], r[1], False) == 1 for r in rows)
     # The words of one prompt only, and captions without a cue, are no refusals.
     rows += [(f"one prompt {i}", "a red cart rolls by", "x", "a green kite", f"Those {o} hills make my day complete and none of them wants any more light") for i, o in enumerate(odd)]
     rows += [(f"caption {i}", f"{w} stands beside a {w}ish fence", "x", "a green kite", f"Two {o} horses gallop over golden meadows under heavy clouds while children wave") for i, (w, o) in enumerate(zip(things, odd))]
