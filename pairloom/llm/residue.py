@@ -1,8 +1,10 @@
 """Template residue, filler, error pages and demands for scripts (problem 9).
 
-Method: a multi-pattern automaton finds phrases of error pages, filler and script demands in
-several languages; a document is excluded when the stretches that hold them cover nearly all of
-it, page furniture aside. An unfilled slot anywhere in the running text is enough by itself.
+Method: one pass of a multi-pattern automaton over a text finds phrases of error pages, filler and
+script demands in several languages, words of filler and marks of log lines. A
+document is excluded when the letters of the matched spans are a large part of all its letters,
+page furniture aside; a mark of a log line covers its line once the line has that form. An unfilled
+slot anywhere in the running text, which is told by its form, is enough by itself.
 """
 
 from __future__ import annotations
@@ -10,14 +12,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import eq
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-#: Largest share of a document's letters and digits, furniture aside, that may stay unmatched.
-MAX_REST = 0.25
-#: A stretch of more words than this is a text of its own, whatever phrase is in it.
-MAX_STRETCH_WORDS = 24
+from pairloom.session import dealt_out
+
+#: Least share of a document's letters and digits, furniture aside, in the matched spans. Texts that only mention such a thing
+#: stay below 0.14 in the test tables.
+MIN_COVER = 0.18
+#: Least share of a stretch's words that are words of filler, for it to be filler.
+FILLER_WORDS = 0.7
 
 # Phrases, lower case, in the order error pages, script demands, filler.
 ERROR_PHRASES = [
@@ -78,6 +84,8 @@ LATIN_FILLER = set(
     "nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim vitae augue vel porta felis turpis "
     "neque justo ligula quam massa erat vestibulum pellentesque mauris ut et in non id est laborum ante nunc arcu odio eget".split()
 )
+#: Those of them that are common words of living languages: they count in a stretch of filler, but don't make a text worth a closer look.
+COMMON = {"in", "et", "non", "est", "ut", "id", "vel", "sed", "ante", "quam", "nulla", "erat", "enim", "massa"}
 TEST_FILLER = set(
     "foo bar baz qux bla blah blabla test test2 tests testing tester asdf asdfgh asdfghjkl qwer qwert qwerty qwertz jkl xx xxx xxxx xxxxx "
     "123 1234 12345 abc abcd aaa bbb tbd tba todo tbc fixme dummy placeholder".split()
@@ -114,21 +122,33 @@ _TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _STRETCH = re.compile(r"[\n\r]+|(?<=[.!?…;])\s+")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 _STATUS = re.compile(r"^\W*(?:(?:http(?:/\d(?:\.\d)?)?|error|fehler|erreur|status|code)\W*)*[1-5]\d\d\b(?=\W|$)")
-_LOG = re.compile(r"^\W*(?:\[[^\]]*\]\s*)?(?:warn(?:ing)?|error|fatal|critical|panic|exception)\b|\b[\w.]{0,80}(?:error|exception)(?::| at\b| in\b)|^\s*file \"[^\"]+\", line \d+|^\s*null\W*$|^\s*nan\W*$|errno \d+")
+_BARE_STATUS = re.compile(r"(?:^|[\n\r.!?…;>])\W{0,20}[1-5]\d\d\b")
+_REFERENCE = re.compile(r"\s{0,20}(?:\[[^\]\n]{1,40}\]\s{0,20})+")
+_LOG = re.compile(r"^\W{0,200}(?:\[[^\]\n]{0,60}\]\s{0,20}){0,5}(?:warn(?:ing)?|error|fatal|critical|panic|exception)\b|\b[\w.]{0,80}(?:error|exception)(?::| at\b| in\b)|^\s*file \"[^\"]+\", line \d+|^\s*null\W*$|^\s*nan\W*$|errno \d+")
 _JAVA = re.compile(r"java[ -]script")
 _HTML_ERROR = re.compile(r"<title>\s*(?:error\s*)?[1-5]\d\d\b[^<]*</title>")
 _JSON_ERROR = re.compile(r"^\W*(?:\[[^\]]*\]\s*)?\{\s*\"(?:error|errors|fault|exception)\"\s*:")
 _ID = re.compile(r"^\W*(?:(?:ref|id|ray id|request id|trace|wait|reference|code)\b\W*)?[\w\-.]*\d[\w\-.]*(?:\s*s(?:econds)?)?\W*$")
 
 
+#: Marks that may begin or stand in a log line, a status line or an error as JSON or HTML.
+LOG_MARKS = ["error", "exception", "warn", "fatal", "critical", "panic", "errno", "file \"", "null", "nan", "fault", "<title>", "http", "fehler", "erreur", "status", "code"]
+
+
 @lru_cache(maxsize=1)
 def _automaton():
+    """All patterns by their last characters: length, kind, and whether it is a whole phrase, a word of filler or only a mark."""
     import ahocorasick
 
     found = ahocorasick.Automaton()
-    for kind, phrases in (("error", ERROR_PHRASES), ("script", SCRIPT_PHRASES), ("filler", FILLER_PHRASES)):
-        for phrase in phrases:
-            found.add_word(phrase, (len(phrase), kind))
+    marks = [(m, "error", "mark") for m in LOG_MARKS]
+    words_ = [(w, "filler", "word") for w in sorted(LATIN_FILLER | TEST_FILLER)]
+    phrases = [(p, kind, "phrase") for kind, all_ in (("filler", FILLER_PHRASES), ("script", SCRIPT_PHRASES), ("error", ERROR_PHRASES)) for p in all_]
+    patterns: dict[str, list[tuple[int, str, str]]] = {}
+    for text, kind, way in marks + words_ + phrases:
+        patterns.setdefault(text, []).append((len(text), kind, way))
+    for text, meanings in patterns.items():
+        found.add_word(text, meanings)
     found.make_automaton()
     return found
 
@@ -147,62 +167,112 @@ def has_slot(text: str) -> bool:
     return False
 
 
-def _phrase_at(low: str) -> str | None:
-    """Kind of the first phrase of a stretch that begins and ends at word ends."""
-    for end, (size, kind) in _automaton().iter(low):
-        start = end - size + 1
-        if (start == 0 or not (low[start - 1].isalnum() and low[start].isalnum())) and (end + 1 == len(low) or not (low[end + 1].isalnum() and low[end].isalnum())):
-            return kind
-    return None
+def _hits(low: str) -> Iterator[tuple[int, int, str, str]]:
+    """Start, end, kind and way of each pattern in a text; phrases and words only where they begin and end at word ends."""
+    for last, meanings in _automaton().iter(low):
+        for size, kind, way in meanings:
+            start, end = last - size + 1, last + 1
+            whole = not (start and low[start - 1].isalnum() and low[start].isalnum()) and not (end < len(low) and low[end].isalnum() and low[last].isalnum())
+            if whole or way == "mark":
+                yield start, end, kind, way
 
 
-def _all_filler(words: list[str]) -> bool:
-    if not words:
-        return False
-    latin = sum(w in LATIN_FILLER for w in words)
-    test = sum(w in TEST_FILLER for w in words)
-    if len(words) >= 4 and latin >= 0.7 * len(words):
-        return True
-    if test >= 0.7 * len(words):
-        return True
-    # One phrase of up to five words over and over.
+def _repeats(words: list[str]) -> bool:
+    """One phrase of up to five words over and over."""
     return len(words) >= 4 and any(len(words) >= 3 * n and words[n:] == words[:-n] for n in range(1, 6))
 
 
-def residue_kind(text: str | None) -> str | None:
-    """``slot``, ``error``, ``script`` or ``filler`` if a text is residue, else null. A null or blank text isn't."""
-    if not text or not text.strip():
-        return None
-    if has_slot(text):
-        return "slot"
+def _letters(text: str) -> int:
+    return sum(map(len, _WORD.findall(text)))
+
+
+def _error_line(stretch: str, words: int) -> bool:
+    """Whether a stretch has the form of a log line or a bare status, quotations aside for the latter."""
+    bare = _QUOTE.sub(" ", stretch) if "line " not in stretch else stretch
+    return _LOG.search(stretch) is not None or (words <= 8 and _STATUS.search(bare) is not None)
+
+
+def coverage(text: str) -> tuple[float, str | None]:
+    """The share of a text's letters in matched spans, page furniture aside, and the kind that covers most. Slots don't count."""
     low = _JAVA.sub("javascript", text.lower().replace("’", "'").replace("\u00a0", " "))
     words = _WORD.findall(low)
-    if _all_filler(words):
-        return "filler"
-    if _JSON_ERROR.search(low) or (_HTML_ERROR.search(low) and len(words) <= MAX_STRETCH_WORDS):
-        return "error"
-    matched, rest, kinds, whole = 0, 0, {}, sum(map(len, words))
-    for stretch in _STRETCH.split(_TAG.sub("\n", low)):
+    if _repeats(words):
+        return 1.0, "filler"
+    hits = list(_hits(low))
+    # Without any of these no stretch is covered: a pattern, a run of words that come again after the same distance, or a bare status.
+    if not (
+        any(h[3] != "word" or low[h[0] : h[1]] not in COMMON for h in hits)
+        or any(b"\1" * max(3, 2 * n) in bytes(map(eq, words[n:], words)) for n in range(1, 6))
+        or _BARE_STATUS.search(low)
+        or sum(h[3] == "word" for h in hits) >= 4 and any(w in COMMON and v in COMMON for w, v in zip(words, words[1:]))
+    ):
+        return 0.0, None
+    if _JSON_ERROR.search(low) or _HTML_ERROR.search(low):
+        marks = _HTML_ERROR.search(low) or low
+        return (1.0 if marks is low else (_letters(low) and min(1.0, 3 * _letters(marks[0]) / _letters(_TAG.sub("\n", low)))), "error")
+    hits.sort()
+    whole = 0
+    covered: dict[str, int] = {}
+    at, lo = 0, 0
+    masked = _TAG.sub(lambda m: "\n" * len(m[0]), low)
+    for stretch_at, end in _stretches(masked):
+        stretch = masked[stretch_at:end]
         own = _WORD.findall(stretch)
         size = sum(map(len, own))
+        if reference := _REFERENCE.match(stretch):  # identifiers before a message are no part of it
+            size = max(0, size - _letters(reference[0])) or size
+        while lo < len(hits) and hits[lo][0] < stretch_at:
+            lo += 1
         if not size:
             continue
-        kind = None
-        if len(own) <= MAX_STRETCH_WORDS:
-            bare = _QUOTE.sub(" ", stretch) if "line " not in stretch else stretch
-            kind = _phrase_at(bare) or ("error" if _LOG.search(stretch) or (_STATUS.search(bare) and len(own) <= 8) else None)
-        if kind is None and _all_filler(own):
-            kind = "filler"
-        if kind:
-            matched += size
-            kinds[kind] = kinds.get(kind, 0) + size
-        elif not _furniture(stretch, own):
-            rest += size
-            if rest > MAX_REST * whole:  # whatever follows
-                return None
-    if matched and rest <= MAX_REST * (matched + rest):
-        return max(sorted(kinds), key=kinds.get)
-    return None
+        inside = []
+        at = lo
+        while at < len(hits) and hits[at][0] < end:
+            if hits[at][1] <= end:
+                inside.append(hits[at])
+            at += 1
+        filler = sum(h[3] == "word" for h in inside)
+        if _repeats(own) or (filler >= FILLER_WORDS * len(own) and (len(own) >= 4 or any(w in TEST_FILLER for w in own))):
+            covered["filler"] = covered.get("filler", 0) + size
+        elif (own[0][:1].isdigit() or any(h[3] == "mark" for h in inside)) and _error_line(stretch, len(own)):
+            covered["error"] = covered.get("error", 0) + size
+        elif spans := [h for h in inside if h[3] == "phrase"]:
+            quoted = [m.span() for m in _QUOTE.finditer(stretch)] if "line " not in stretch else []
+            matched, to = 0, 0
+            kinds: dict[str, int] = {}
+            for start, stop, kind, _ in spans:
+                if any(a <= start - stretch_at and stop - stretch_at <= b for a, b in quoted):
+                    continue
+                n = _letters(masked[max(start, to) : stop]) if stop > to else 0
+                matched, to = matched + n, max(to, stop)
+                kinds[kind] = kinds.get(kind, 0) + n
+            for kind, n in kinds.items():
+                covered[kind] = covered.get(kind, 0) + n
+            if not matched and _furniture(stretch, own):
+                continue
+        elif _furniture(stretch, own):
+            continue
+        whole += size
+    most = max(sorted(covered), key=covered.get) if covered else None
+    return (sum(covered.values()) / whole if whole else 0.0), most
+
+
+def _stretches(text: str) -> Iterator[tuple[int, int]]:
+    at = 0
+    for m in _STRETCH.finditer(text):
+        yield at, m.start()
+        at = m.end()
+    yield at, len(text)
+
+
+def residue_kind(text: str | None) -> str | None:
+    """``slot``, ``error``, ``script`` or ``filler`` if a text is residue, else null. A null or blank text isn't."""
+    if not text or not text.strip():
+        return None
+    if has_slot(text):
+        return "slot"
+    share, kind = coverage(text)
+    return kind if share >= MIN_COVER else None
 
 
 def _furniture(stretch: str, own: list[str]) -> bool:
@@ -225,4 +295,4 @@ def flag_residue(docs: DataFrame, key: str, text: str) -> DataFrame:
             yield pd.DataFrame({key: b[key][hit], "kind": kinds[hit].to_numpy()})
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.filter(f"{text} is not null").select(key, text).mapInPandas(run, f"{key} {kind}, kind string")
+    return dealt_out(docs.filter(F.col(text).isNotNull()).select(key, text)).mapInPandas(run, f"{key} {kind}, kind string")
