@@ -63,16 +63,16 @@ def p3_counts(spark: SparkSession, root: str) -> DataFrame:
     return p3_found(spark, root).groupBy("defect").agg(F.count("*").alias("responses"))
 
 
-def _pairs(spark: SparkSession, root: str) -> DataFrame:
-    return split_overlap.overlap_pairs(table(spark, root, "samples"), "sample_id", "image_path", "caption", "split")
+def _overlap(spark: SparkSession, root: str) -> split_overlap.Overlap:
+    return split_overlap.Overlap(table(spark, root, "samples"), "sample_id", "image_path", "caption", "split")
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    return _pairs(spark, root).select(F.least("train_id", "held_id").alias("sample_id_a"), F.greatest("train_id", "held_id").alias("sample_id_b"))
+    return _overlap(spark, root).pairs().select(F.least("train_id", "held_id").alias("sample_id_a"), F.greatest("train_id", "held_id").alias("sample_id_b"))
 
 
 def p4_counts(spark: SparkSession, root: str) -> DataFrame:
-    return split_overlap.overlap_counts(table(spark, root, "samples"), _pairs(spark, root), "sample_id", "split", "source")
+    return split_overlap.overlap_counts(_overlap(spark, root), table(spark, root, "samples"), "sample_id", "split", "source")
 
 
 def _collapsed(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -161,6 +161,24 @@ need as (
   from sample_targets t left join have h on t.category = h.category and t.sub_category = h.sub_category)
 """
 
+# The edit distance of two word lists: one row of its table after the other, from the left to the right of each.
+_OVERLAPS = r"""with base as (
+  select sample_id, lower(trim(split)) split, lower(trim(source)) source,
+    nullif(ltrim(regexp_extract(regexp_replace(regexp_replace(regexp_replace(image_path, '\?.*$', ''), '^.*[/\\]', ''), '(.)\.[^.]*$', '\1'), '([0-9]+)[^0-9]*$', 1), '0'), '') number,
+    case when caption is not null then list_filter(string_split_regex(lower(caption), '[^\p{L}\p{N}]+'), lambda w: w <> '') end w
+  from samples where lower(trim(split)) in ('train', 'validation', 'test')),
+duo as (select a.sample_id a, b.sample_id b, a.number m, b.number n, a.w v, b.w w from base a, base b where a.split = 'train' and b.split <> 'train'),
+likely as (
+  select * from duo where v is not null and w is not null and abs(len(v) - len(w)) <= 2
+    and len(list_filter(list_distinct(v), lambda x: not list_contains(w, x))) <= 2 and len(list_filter(list_distinct(w), lambda x: not list_contains(v, x))) <= 2),
+near as (
+  select a, b from likely where list_reduce(
+    list_prepend(range(len(w) + 1), list_transform(v, lambda x: [hash(x)::hugeint])),
+    lambda above, x: list_reduce(list_prepend([above[1] + 1], list_transform(range(1, len(w) + 1), lambda j: [j])),
+      lambda now, j: list_append(now, least(now[len(now)] + 1, above[j[1]::bigint + 1] + 1, above[j[1]::bigint] + case when hash(w[j[1]::bigint])::hugeint = x[1] then 0 else 1 end))))[len(w) + 1] <= 2),
+pairs as (select a, b from duo where m = n union select a, b from near)
+"""
+
 _KEYS = r"""with keyed as (
   select sample_id, regexp_replace(lower(caption), '[^\p{L}\p{N}]+', '', 'g') || '|' ||
     coalesce(array_to_string(list_sort(list_transform(coalesce(negatives, []), lambda n: regexp_replace(lower(coalesce(n.edited_caption, '')), '[^\p{L}\p{N}]+', '', 'g'))), ','), '') k
@@ -178,6 +196,8 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": _CELLS + "select category, sub_category from need where records < need",
         "p2_cells": _CELLS + "select category, sub_category, records, cast(need as bigint) need, cast(greatest(need - records, 0) as bigint) shortfall from need",
         "p2_report": _CELLS + "select category, sub_category, records, cast(need as bigint) need, cast(greatest(need - records, 0) as bigint) shortfall, cast(least(need, records) as bigint) drawn from need",
+        "p4_found": _OVERLAPS + "select least(a, b) sample_id_a, greatest(a, b) sample_id_b from pairs",
+        "p4_counts": _OVERLAPS + "select split, source, count(distinct b) overlapping_rows, count(*) pairs from pairs join base on b = sample_id group by all",
         "p5_found": _KEYS + "select keep_id, sample_id copy_id from keyed join groups using (k) where sample_id <> keep_id",
         "p5_groups": _KEYS + "select keep_id, copies from groups",
         # A word or another mark stands for a token: the result is the same for any usual tokenizer.

@@ -5,8 +5,9 @@ and evaluation hashes are joined with training hashes; matches are counted by sp
 Almost equal captions are found by the same hash join on parts of the word sequence: of two
 sequences that become equal by at most two word changes, one of three consecutive parts of the
 first occurs unchanged in the second, shifted by two words at most. Candidates are verified by the
-edit distance. Equal texts are one class throughout; classes meet, members are only attached at
-the end.
+edit distance. Equal texts are one class throughout, and only classes are compared; the texts of two words or fewer,
+which are all within two changes of each other, are one class more. Counts come from classes and their
+sizes; pairs of rows are made where they are asked for, frequent classes in blocks.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.functions.text import plain, words
+from pairloom.operators.skew import pair_join, spread_join
 from pairloom.session import materialize
 
 CHANGES = 2
@@ -48,7 +50,8 @@ def _left_after_deletions(code: Column) -> Column:
         for j in range(i, SHORT - 1):
             two = F.concat(F.substring(one, 1, j), F.substring(one, j + 2, SHORT))
             out.append(F.when(F.length(code) > j + 1, two))
-    return F.array_distinct(F.filter(F.array(*[F.concat(F.lit("d"), x) for x in out]), lambda x: x.isNotNull()))
+    # Of two sequences of which one has more than CHANGES words, something is left.
+    return F.array_distinct(F.filter(F.array(*[F.concat(F.lit("d"), x) for x in out]), lambda x: x.isNotNull() & (x != "d")))
 
 
 def _part(i: int, length: Column) -> tuple[Column, Column]:
@@ -88,40 +91,78 @@ def _other_parts(code: Column) -> Column:
     return F.array_distinct(F.filter(F.array(*out), lambda x: x.isNotNull()))
 
 
-def overlap_pairs(rows: DataFrame, key: str, path: str, text: str, split: str, train: str = "train", held: tuple[str, ...] = ("validation", "test")) -> DataFrame:
-    """All pairs ``(train_id, held_id)`` of a training row and a held-out row with the same picture number or almost the same text.
+class Overlap:
+    """Which held-out rows overlap with training rows: same picture number or almost the same text.
 
     Null paths and texts match nothing, a text without words matches texts of at most two words.
-    Split names compare without case and outer blanks; rows of other splits take no part.
-    Repeated rows stand for themselves: every pair of rows is listed once.
+    Split names compare without case and outer blanks; rows of other splits take no part. Exact
+    repeats of a row, id included, count once. Empty tables give no rows.
+
+    ``base`` has id, held, number and the class of the text (c1, c2, ``tiny`` for two words or fewer); ``links`` has the
+    pairs of a training class (c1, c2) and a held-out class (d1, d2) within two changes, each once, but for pairs of tiny ones.
     """
-    base = rows.select(F.col(key).alias("id"), picture_number(F.col(path)).alias("number"), words(F.col(text)).alias("seq"), plain(F.col(split)).alias("split"))
-    base = base.filter(F.col("split").isin(train, *held)).withColumn("held", F.col("split") != train)
-    base = materialize(base.select("id", "held", "number", coded("seq", 1).alias("c1"), coded("seq", 2).alias("c2")), "canonical")
-
-    side = lambda df, held_, col, name: df.filter(("" if held_ else "not ") + f"held and {col} is not null").select("id", col).withColumnRenamed("id", name)
-    same_picture = side(base, False, "number", "train_id").join(side(base, True, "number", "held_id"), "number").select("train_id", "held_id")
-
-    # One row per distinct sequence; c1 and c2 together are its identity.
-    classes = materialize(base.filter("c1 is not null").groupBy("c1", "c2").agg(F.max("held").alias("in_held"), F.min("held").alias("only_held")), "classes")
-    left = classes.filter("not only_held").select("c1", "c2")
-    right = classes.filter("in_held").select(F.col("c1").alias("d1"), F.col("c2").alias("d2"))
-    short = lambda df, c: df.filter(F.length(c) <= SHORT).withColumn("part", F.explode(_left_after_deletions(F.col(c))))
-    parts = left.withColumn("part", F.explode(_own_parts(F.col("c1")))).unionByName(short(left, "c1"))
-    probes = right.withColumn("part", F.explode(_other_parts(F.col("d1")))).unionByName(short(right, "d1"))
-    near = (
-        parts.join(probes, "part")
-        .filter(f"levenshtein(c1, d1, {CHANGES}) >= 0 and levenshtein(c2, d2, {CHANGES}) >= 0")
-        .select("c1", "c2", "d1", "d2")
-        .distinct()
-    )
-    members = lambda held_, a, b, name: base.filter(("" if held_ else "not ") + "held and c1 is not null").select(F.col("c1").alias(a), F.col("c2").alias(b), F.col("id").alias(name))
-    same_text = near.join(members(False, "c1", "c2", "train_id"), ["c1", "c2"]).join(members(True, "d1", "d2", "held_id"), ["d1", "d2"]).select("train_id", "held_id")
-    return same_picture.unionByName(same_text).distinct()
-
-
-def overlap_counts(rows: DataFrame, pairs: DataFrame, key: str, split: str, source: str) -> DataFrame:
+
+    def __init__(self, rows: DataFrame, key: str, path: str, text: str, split: str, train: str = "train", held: tuple[str, ...] = ("validation", "test")):
+        base = rows.select(F.col(key).alias("id"), picture_number(F.col(path)).alias("number"), words(F.col(text)).alias("seq"), plain(F.col(split)).alias("split"))
+        base = base.filter(F.col("split").isin(train, *held)).withColumn("held", F.col("split") != train)
+        base = base.select("id", "held", "number", coded("seq", 1).alias("c1"), coded("seq", 2).alias("c2")).distinct()
+        self.base = materialize(base.withColumn("tiny", F.coalesce(F.length("c1") <= CHANGES, F.lit(False))), "canonical")
+        self.links = materialize(self._links(), "links")
+
+    def _links(self) -> DataFrame:
+        # One row per distinct sequence; c1 and c2 together are its identity.
+        classes = materialize(self.base.filter("c1 is not null").groupBy("c1", "c2").agg(F.max("held").alias("in_held"), F.min("held").alias("only_held")), "classes")
+        left = classes.filter("not only_held").select("c1", "c2")
+        right = classes.filter("in_held").select(F.col("c1").alias("d1"), F.col("c2").alias("d2"))
+        short = lambda df, c: df.filter(F.length(c) <= SHORT).withColumn("part", F.explode(_left_after_deletions(F.col(c))))
+        parts = materialize(left.withColumn("part", F.explode(_own_parts(F.col("c1")))).unionByName(short(left, "c1")), "parts")
+        probes = materialize(right.withColumn("part", F.explode(_other_parts(F.col("d1")))).unionByName(short(right, "d1")), "probes")
+        return (
+            pair_join(parts, probes, ["part"], "c1", "d1")
+            .filter(f"(length(c1) > {CHANGES} or length(d1) > {CHANGES}) and levenshtein(c1, d1, {CHANGES}) >= 0 and levenshtein(c2, d2, {CHANGES}) >= 0")
+            .select("c1", "c2", "d1", "d2")
+            .distinct()
+        )
+
+    def _side(self, held: bool, condition: str = "true") -> DataFrame:
+        return self.base.filter(("" if held else "not ") + f"held and {condition}")
+
+    def pairs(self) -> DataFrame:
+        """All pairs ``(train_id, held_id)``, each once: pairs of equal texts, too, come from the classes, so only pairs with the same number have to be told apart from them."""
+        named = lambda held, name, number, *keys: self._side(held, "c1 is not null").select(F.col("id").alias(name), F.col("number").alias(number), *keys)
+        same_picture = pair_join(
+            self._side(False, "number is not null").select(F.col("id").alias("train_id"), "number"), self._side(True, "number is not null").select(F.col("id").alias("held_id"), "number"), ["number"], "train_id", "held_id"
+        ).select("train_id", "held_id")
+        train = named(False, "train_id", "m", "c1", "c2", "tiny")
+        held = named(True, "held_id", "n", F.col("c1").alias("d1"), F.col("c2").alias("d2"), "tiny")
+        one = pair_join(self.links, train.drop("tiny"), ["c1", "c2"], "d1", "train_id").select("d1", "d2", "train_id", "m")
+        linked = pair_join(one, held.drop("tiny"), ["d1", "d2"], "train_id", "held_id")
+        tiny = pair_join(train.filter("tiny").select("train_id", "m", "tiny"), held.filter("tiny").select("held_id", "n", "tiny"), ["tiny"], "train_id", "held_id")
+        same_text = linked.select("train_id", "held_id", "m", "n").unionByName(tiny.select("train_id", "held_id", "m", "n"))
+        return same_picture.unionByName(same_text.filter("m is null or n is null or m <> n").select("train_id", "held_id"))
+
+    def row_counts(self) -> DataFrame:
+        """``(held_id, pairs)`` of the held-out rows that overlap, by counting classes; no pair is made."""
+        count = F.count("*").alias("k")
+        train, held = self._side(False), self._side(True)
+        numbers = train.filter("number is not null").groupBy("number").agg(count)
+        texts = train.filter("c1 is not null").groupBy("c1", "c2").agg(count)
+        both = train.filter("c1 is not null and number is not null").groupBy("c1", "c2", "number").agg(count)
+        links = spread_join(self.links, texts, ["c1", "c2"]).groupBy("d1", "d2").agg(F.sum("k").alias("k"))
+        link_both = pair_join(self.links, both, ["c1", "c2"], "d1", "number").groupBy("d1", "d2", "number").agg(F.sum("k").alias("k"))
+        tiny = train.filter("tiny").agg(count).first()["k"]
+        tiny_both = train.filter("tiny and number is not null").groupBy("number").agg(count)
+        as_held = lambda df: df.withColumnsRenamed({"d1": "c1", "d2": "c2"})
+        out = spread_join(held, numbers.withColumnRenamed("k", "same_number"), ["number"], "left")
+        out = spread_join(out, as_held(links).withColumnRenamed("k", "same_text"), ["c1", "c2"], "left")
+        out = spread_join(out, as_held(link_both).withColumnRenamed("k", "same_both"), ["c1", "c2", "number"], "left")
+        out = spread_join(out, tiny_both.withColumnRenamed("k", "tiny_both"), ["number"], "left")
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        total = zero("same_number") + zero("same_text") - zero("same_both") + F.when(F.col("tiny"), F.lit(tiny) - zero("tiny_both")).otherwise(0)
+        return out.select(F.col("id").alias("held_id"), total.cast("bigint").alias("pairs")).filter("pairs > 0")
+
+
+def overlap_counts(overlap: Overlap, rows: DataFrame, key: str, split: str, source: str) -> DataFrame:
     """By split and source of the held-out row: how many rows overlap with training, and in how many pairs."""
-    per_row = pairs.groupBy("held_id").agg(F.count("*").alias("pairs"))
     named = rows.select(F.col(key).alias("held_id"), plain(F.col(split)).alias("split"), plain(F.col(source)).alias("source"))
-    return per_row.join(named, "held_id").groupBy("split", "source").agg(F.count("*").alias("overlapping_rows"), F.sum("pairs").alias("pairs"))
+    return overlap.row_counts().join(named, "held_id").groupBy("split", "source").agg(F.count("*").alias("overlapping_rows"), F.sum("pairs").alias("pairs"))

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.llm.components import components
+from pairloom.operators import skew
 from pairloom.llm import cutoffs, format_ledger, latent_leaks, mixing, quota_sample, records, residue, response_defects, split_overlap
 
 DATA = "/root/testdata/sf0.001"
@@ -252,7 +253,7 @@ def test_overlaps_are_complete(spark):
         rows.append((i, None, r.choice([" ", "--", ", "]).join(w).upper() + ".", r.choice(["train", "train ", "TEST", "validation", "x", None])))
     rows += [(600, "a/0007.jpg?x=9", None, "train"), (601, "b\\IMG_2_7.png ", None, "test"), (602, "7/none.jpg", None, "test"), (603, "a/007", None, "validation"), (604, None, None, "test"), (605, "00.jpg", None, "test"), (606, "0", "", "train")]
     df = spark.createDataFrame(rows, "id bigint, path string, text string, split string").withColumn("held", F.lit(1)).withColumn("number", F.lit("7"))
-    got = sorted((p["train_id"], p["held_id"]) for p in split_overlap.overlap_pairs(df, "id", "path", "text", "split").collect())
+    got = sorted((p["train_id"], p["held_id"]) for p in split_overlap.Overlap(df, "id", "path", "text", "split").pairs().collect())
     words = {i: re.findall(r"[^\W_]+", t.lower()) if t is not None else None for i, _, t, _ in rows}
     number = {600: "7", 601: "7", 603: "7", 605: "0", 606: "0"}
     train = [i for i, *_, s in rows if s and s.strip().lower() == "train"]
@@ -260,13 +261,28 @@ def test_overlaps_are_complete(spark):
     near = lambda a, b: words[a] is not None and words[b] is not None and word_distance(words[a], words[b]) <= 2
     want = sorted((a, b) for a in train for b in held if (a in number and number.get(a) == number.get(b)) or near(a, b))
     assert got == want
-    counts = split_overlap.overlap_counts(df.withColumn("source", F.lit("S ")), split_overlap.overlap_pairs(df, "id", "path", "text", "split"), "id", "split", "source").collect()
+    counts = split_overlap.overlap_counts(split_overlap.Overlap(df, "id", "path", "text", "split"), df.withColumn("source", F.lit("S ")), "id", "split", "source").collect()
     assert sum(c["pairs"] for c in counts) == len(want) and {c["source"] for c in counts} == {"s"}
 
 
 def test_overlaps_of_nothing(spark):
     df = spark.createDataFrame([], "id bigint, path string, text string, split string")
-    assert split_overlap.overlap_pairs(df, "id", "path", "text", "split").count() == 0
+    overlap = split_overlap.Overlap(df, "id", "path", "text", "split")
+    assert overlap.pairs().count() == 0 and overlap.row_counts().count() == 0
+
+
+def test_one_caption_and_one_picture_many_times(spark, monkeypatch):
+    """A class with most of the rows is paired in blocks: no task makes many more pairs than the others."""
+    df = spark.range(1200).select("id", F.when(F.col("id") % 3 == 0, "a/7.jpg").alias("path"), F.when(F.col("id") % 2 == 0, "one caption again and again").otherwise("x y").alias("text"), F.when(F.col("id") % 5 == 0, "test").otherwise("train").alias("split"))
+    overlap = split_overlap.Overlap(df, "id", "path", "text", "split")
+    pairs = overlap.pairs()
+    rows = df.collect()
+    want = sum(1 for a in rows if a["split"] == "train" for b in rows if b["split"] == "test" and (a["text"] == b["text"] or (a["path"] and b["path"])))
+    assert pairs.count() == want == pairs.distinct().count() == sum(r["pairs"] for r in overlap.row_counts().collect())
+    left = df.filter("split = 'train'").select(F.lit("k").alias("k"), F.col("id").alias("a"))
+    right = df.filter("split = 'test'").select(F.lit("k").alias("k"), F.col("id").alias("b"))
+    sizes = [r["count"] for r in skew.pair_join(left, right, ["k"], "a", "b", block=50).groupBy(F.pmod(F.xxhash64("a"), F.lit(20)), F.pmod(F.xxhash64("b"), F.lit(5))).count().collect()]
+    assert sum(sizes) == 960 * 240 and max(sizes) < 3 * 960 * 240 / len(sizes)
 
 
 def test_picture_number_of_long_and_odd_paths(spark):
