@@ -226,16 +226,34 @@ def test_payload_shapes(spark):
     ])
 
 
-def test_repeated_parts_are_found(spark):
-    wide = {"m": {f"k{i}": {"v": [1, 2]} for i in range(100)}, "one": {"deep": {"x": 1}}}
-    df = spark.createDataFrame([(1, json.dumps(wide))], "id bigint, p string")
-    modes = inlining.repeated_parts(df, "p", {}, {})
-    assert modes["$.m"] == inlining.MAP and modes["$.m.*.v"] == inlining.LIST and "$.one" not in modes
-    rows = inlining.shred(df, "id", "p", {}, {}, ["$", "$.m.*", "$.m.*.v[]"])
-    assert {r["node"]: r["count"] for r in rows.groupBy("node").count().collect()} == {"$": 1, "$.m.*": 100, "$.m.*.v[]": 200}
+@pytest.mark.parametrize("parts", [1, 20])
+def test_elements_keyed_by_data_are_found(spark, parts):
+    """A hundred payloads with a key each make an element keyed by data, however they are dealt out."""
+    docs = [(i, json.dumps({"m": {f"k{i}": {"v": [1, 2]}}, "one": {"deep": {"x": 1}}})) for i in range(100)]
+    df = spark.createDataFrame(docs, "id bigint, p string").repartition(parts)
+    graph = inlining.Graph(df, "p", {}, {})
+    assert graph.keyed == {"m"} and graph.modes == {("m", "{}"): inlining.MAP, ("m{}", "v"): inlining.LIST} and graph.tables == {"$", "m{}", "v"}
+    rows = inlining.shred(df, "id", "p", {}, {})
+    assert {r["node"]: r["count"] for r in rows.groupBy("node").count().collect()} == {"$": 100, "m{}": 100, "v": 200}
     assert json.loads(rows.filter("node = '$'").first()["inlined"]) == {"one.deep.x": 1}
 
 
+def test_shared_and_recursive_elements_have_one_table(spark):
+    tree = {"name": "a", "child": {"name": "b", "child": {"name": "c"}}, "owner": {"id": 1, "address": {"city": "x"}}}
+    docs = [(1, json.dumps({"child": tree, "owner": {"id": 2}})), (2, json.dumps({"groups": [{"groups": [{"groups": [{"n": 3}], "n": 2}], "n": 1}]}))]
+    df = spark.createDataFrame(docs, "id bigint, p string")
+    assert inlining.Graph(df, "p", {}, {}).tables == {"$", "child", "owner", "groups"}
+    rows = inlining.shred(df, "id", "p", {}, {}).withColumns({"own": inlining.element_key("id", F.col("steps")), "up": inlining.element_key("id", inlining.parent_steps(F.col("steps")))}).collect()
+    by = {r["own"]: r for r in rows}
+    found = sorted(((r["node"], json.loads(r["inlined"]), r["parent"], json.loads(by[r["up"]]["inlined"]) if r["parent"] else None) for r in rows if r["node"] != "$"), key=str)
+    assert found == sorted([
+        ("child", {"name": "a"}, "$", {}), ("child", {"name": "b"}, "child", {"name": "a"}), ("child", {"name": "c"}, "child", {"name": "b"}),
+        ("groups", {"n": 1}, "$", {}), ("groups", {"n": 2}, "groups", {"n": 1}), ("groups", {"n": 3}, "groups", {"n": 2}),
+        ("owner", {"id": 1, "address.city": "x"}, "child", {"name": "a"}), ("owner", {"id": 2}, "$", {}),
+    ], key=str)
+    assert len(by) == len(rows) == 10 and all(r["up"] in by for r in rows if r["parent"])
+
+
 def test_every_repeated_part_has_a_table(spark):
     one = {"edit_id": "e", "bounding_boxes": [["a dog", [1, 2]], [3]], "diffusion_params": {"steps": 5, "scale": float("nan")}, "negative_prompt": "x", "parts": {"parts": [{"n": 1}]}}
     one["scores"] = {"p.png": {"tifa_score": 1, "note": "y", "question_details": {"q?": {"choices": ["yes", "no"], "hint": "z"}}}}
@@ -243,25 +261,25 @@ def test_every_repeated_part_has_a_table(spark):
     files = spark.createDataFrame(docs, "file_id bigint, payload string")
     rows = annotations.every_element(files).collect()
     got = sorted((r["file_id"], r["node"], tuple(r["steps"]), r["fields"]) for r in rows if r["fields"])
-    a, q = "$.annotations[]", "$.annotations[].scores.*.question_details.*"
-    box = f"{a}.bounding_boxes[][]"
-    assert [g for g in got if "parts" not in g[1]] == sorted([
-        (1, "$", (), {"input_caption": "c"}), (1, a, ("0",), {"edit_id": "e", "diffusion_params.steps": "5", "diffusion_params.scale": "NaN", "negative_prompt": "x"}),
-        (1, box, ("0", "0", "0"), {"value": "a dog"}), (1, f"{box}[]", ("0", "0", "1", "0"), {"value": "1"}), (1, f"{box}[]", ("0", "0", "1", "1"), {"value": "2"}), (1, box, ("0", "1", "0"), {"value": "3"}),
-        (1, f"{a}.scores.*", ("0", "p.png"), {"tifa_score": "1", "note": "y"}), (1, q, ("0", "p.png", "q?"), {"hint": "z"}),
-        (1, f"{q}.choices[]", ("0", "p.png", "q?", "0"), {"value": "yes"}), (1, f"{q}.choices[]", ("0", "p.png", "q?", "1"), {"value": "no"}), (2, q, ("0", "r.png", "q?"), {"question": "q?", "choices": "maybe"}),
+    a, s, q = ("annotations", "0"), ("scores", "p.png"), ("question_details", "q?")
+    assert [g for g in got if g[1] != "parts"] == sorted([
+        (1, "$", (), {"input_caption": "c"}), (1, "annotations", a, {"edit_id": "e", "diffusion_params.steps": "5", "diffusion_params.scale": "NaN", "negative_prompt": "x"}),
+        (1, "bounding_boxes[]", (*a, "bounding_boxes", "0", "[]", "0"), {"value": "a dog"}), (1, "bounding_boxes[][]", (*a, "bounding_boxes", "0", "[]", "1", "[]", "0"), {"value": "1"}),
+        (1, "bounding_boxes[][]", (*a, "bounding_boxes", "0", "[]", "1", "[]", "1"), {"value": "2"}), (1, "bounding_boxes[]", (*a, "bounding_boxes", "1", "[]", "0"), {"value": "3"}),
+        (1, "scores", (*a, *s), {"tifa_score": "1", "note": "y"}), (1, "question_details", (*a, *s, *q), {"hint": "z"}),
+        (1, "choices", (*a, *s, *q, "choices", "0"), {"value": "yes"}), (1, "choices", (*a, *s, *q, "choices", "1"), {"value": "no"}),
+        (2, "question_details", (*a, "scores", "r.png", *q), {"question": "q?", "choices": "maybe"}),
     ])
-    # A list below a single object where elsewhere is a list, once in itself.
-    assert [g for g in got if "parts" in g[1]] == [(1, f"{a}.parts[].parts[]", ("0", "0", "0"), {"n": "1"}), (2, f"{a}.parts[].parts[]", ("0", "0", "0"), {"n": "2"})]
+    # An element within itself, as a list below a single object and the other way round: one table.
+    assert [g for g in got if g[1] == "parts"] == [(1, "parts", (*a, "parts", "0", "parts", "0"), {"n": "1"}), (2, "parts", (*a, "parts", "0", "parts", "0"), {"n": "2"})]
     keys = {r["element_key"] for r in rows}
     assert len(keys) == len(rows) and all(r["parent_key"] in keys for r in rows if r["node"] not in ("$", "unreadable"))
-    samples = spark.createDataFrame([], "sample_id bigint, negatives array<struct<edited_image_path:string>>")
-    assert annotations.flat_tables(samples, files)["annotations"].filter("file_id = 1").first()["more"] == {"diffusion_params.steps": "5", "diffusion_params.scale": "NaN", "negative_prompt": "x"}
+    assert annotations.flat_tables(files)["annotations"].filter("file_id = 1").first()["more"] == {"diffusion_params.scale": "NaN"}
 
 
 def test_annotation_tables_keep_their_links(spark):
     root = "/root/testdata/sf0.001"
-    t = annotations.flat_tables(spark.read.parquet(f"{root}/samples.parquet"), spark.read.parquet(f"{root}/annotation_files.parquet"))
+    t = annotations.flat_tables(spark.read.parquet(f"{root}/annotation_files.parquet"))
     assert t["scores"].join(t["annotations"], "annotation_key", "left_anti").count() == 0
     assert t["questions"].join(t["scores"], "score_key", "left_anti").count() == 0
     assert t["annotations"].count() == t["annotations"].select("annotation_key").distinct().count()
