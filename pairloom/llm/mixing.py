@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pairloom.functions.text import plain
 from pairloom.operators.skew import within
-from pairloom.session import materialize
+from pairloom.session import dealt_out, materialize
 
 #: Default vocabulary; any file of ranks in the same format may be named instead.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -54,7 +54,7 @@ def token_counts(docs: DataFrame, text: str, keep: list[str], ranks: str = RANKS
     return docs.select(*keep, text).mapInPandas(run, schema)
 
 
-def mix(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str = "source", percent: str = "target_percent", repeats: str = "max_repeats", ranks: str = RANKS) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str = "source", percent: str = "target_percent", repeats: str = "max_repeats", ranks: str = RANKS, size: str | None = None) -> tuple[DataFrame, DataFrame]:
     """``(mixture, report)``.
 
     The mixture has as many tokens as all documents with a source, as far as the shares can be
@@ -64,14 +64,14 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str =
     ``report`` per target: source, tokens, documents, target_tokens, mixed_tokens, short (whether
     max_repeats * tokens is less than the target). Sources compare without case and outer blanks;
     documents without a source take no part, those of a source without a target only count
-    towards the total. A null text has no tokens and is not taken.
+    towards the total. A null text has no tokens and is not taken. ``size`` may name a column of sizes to be used instead of tokens.
     """
     if not within(targets, MAX_SOURCES):
         raise ValueError(f"more than {MAX_SOURCES} targets")
     spark = docs.sparkSession
     named = docs.withColumn("__s", plain(F.col(source))).filter("__s is not null and __s <> ''")
     counted = materialize(
-        token_counts(named, text, [key, "__s"], ranks).withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col(key).cast("string")), 1)),
+        (token_counts(dealt_out(named), text, [key, "__s"], ranks) if size is None else named.select(key, "__s", F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("tokens"))).withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col(key).cast("string")), 1)),
         "tokens",
     )
     aims = {r["s"]: (r["p"], r["m"]) for r in targets.select(plain(F.col(source)).alias("s"), F.col(percent).alias("p"), F.col(repeats).alias("m")).collect() if r["s"]}
@@ -107,6 +107,22 @@ def mix(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str =
     return mixture, report
 
 
+def shares(mixture: DataFrame, report: DataFrame, source: str = "source") -> DataFrame:
+    """The report of what the mixture holds: its tokens and share by source, counted in the mixture itself.
+
+    A source is short if its documents were all taken as often as they may be and still have less than its target.
+    """
+    made = mixture.groupBy(source).agg(F.sum(F.col("tokens") * F.col("times")).alias("mixed"), F.min("times").alias("least"), F.max("times").alias("most"), F.sum("tokens").alias("taken"))
+    made = materialize(made, "mixed")
+    whole = made.agg(F.sum("mixed")).first()[0]
+    full = F.col("mixed").isNull() | ((F.col("least") == F.col("most")) & (F.col("taken") == F.col("tokens")))
+    return (
+        report.join(made, source, "left")
+        .select(source, "tokens", "documents", "target_tokens", F.coalesce("mixed", F.lit(0)).alias("mixed_tokens"), (full & F.col("short")).alias("short"))
+        .withColumn("share", F.try_divide(F.col("mixed_tokens"), F.lit(whole)))
+    )
+
+
 def _thresholds(counted: DataFrame, budgets: dict[str, int]) -> dict[str, tuple[int, int]]:
     """For each source the largest hash threshold whose records fit the budget, and their tokens.
 

@@ -35,12 +35,18 @@ def _cells(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return found, quota_sample.quota_cells(found, targets, CELL)
 
 
+def _report(spark: SparkSession, root: str) -> DataFrame:
+    found, cells = _cells(spark, root)
+    return quota_sample.quota_report(cells, quota_sample.quota_sample(found, cells, CELL, "edited_image_path"), CELL)
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
-    return _cells(spark, root)[1].filter("shortfall > 0").select(*CELL)
+    """The cells from which the sample drawn has fewer records than they need."""
+    return _report(spark, root).filter("drawn < need").select(*CELL)
 
 
 def p2_cells(spark: SparkSession, root: str) -> DataFrame:
-    return _cells(spark, root)[1]
+    return _cells(spark, root)[1].drop("floor")
 
 
 def p2_sample(spark: SparkSession, root: str) -> DataFrame:
@@ -50,9 +56,17 @@ def p2_sample(spark: SparkSession, root: str) -> DataFrame:
 
 def p2_report(spark: SparkSession, root: str) -> DataFrame:
     """Per target cell what was needed, held and drawn."""
+    return _report(spark, root).drop("floor")
+
+
+def p2_margins(spark: SparkSession, root: str) -> DataFrame:
+    """A sample calibrated on the totals of the categories and of the sub-categories only: wanted of each, as far as their cells hold it, and whether the draw met it but for rounding."""
     found, cells = _cells(spark, root)
-    drawn = quota_sample.quota_sample(found, cells, CELL, "edited_image_path").groupBy(*CELL).agg(F.count("*").alias("drawn"))
-    return cells.join(drawn, CELL, "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    report = quota_sample.quota_report(cells, quota_sample.quota_sample(found, cells, CELL, "edited_image_path", margins=[["category"], ["sub_category"]]), CELL)
+    level = F.explode(F.array(*(F.struct(F.lit(c).alias("margin"), F.col(c).alias("value")) for c in CELL)))
+    totals = report.withColumn("m", level).groupBy("m.margin", "m.value").agg(F.sum(F.least("need", "records")).alias("wanted"), F.sum("drawn").alias("drawn"), F.count_if(F.col("drawn") < F.least("floor", "records")).alias("below_floor"), F.count("*").alias("n"))
+    # A cell is drawn to its probability but for one record.
+    return totals.select("margin", "value", "wanted", (F.abs(F.col("drawn") - F.col("wanted")) <= F.col("n")).alias("met"), "below_floor")
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
@@ -107,7 +121,8 @@ def _mix(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
-    return _mix(spark, root)[1].filter("short").select("source")
+    """The sources that fall short in the mixture made."""
+    return mixing.shares(*_mix(spark, root)).filter("short").select("source")
 
 
 def p8_mixture(spark: SparkSession, root: str) -> DataFrame:
@@ -115,9 +130,17 @@ def p8_mixture(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, root: str) -> DataFrame:
-    report = _mix(spark, root)[1]
-    whole = report.agg(F.sum("mixed_tokens").alias("whole")).first()["whole"]
-    return report.withColumn("share", F.try_divide(F.col("mixed_tokens"), F.lit(whole)))
+    return mixing.shares(*_mix(spark, root))
+
+
+def p8_word_shares(spark: SparkSession, root: str) -> DataFrame:
+    """The report of a mixture measured in words instead of tokens, without what depends on the hashes."""
+    docs = table(spark, root, "documents").withColumn("size", F.size(F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: w != "")))
+    made = mixing.mix(docs, table(spark, root, "mix_targets"), "doc_id", "text", size="size")
+    # No threshold leaves out more than the one document that doesn't fit any more.
+    largest = docs.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
+    near = (F.col("mixed_tokens") <= F.col("target_tokens")) & (F.col("short") | (F.col("target_tokens") - F.col("mixed_tokens") <= largest))
+    return mixing.shares(*made).select("source", "tokens", "documents", "target_tokens", "short", F.coalesce(near, F.lit(True)).alias("fits"))
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
@@ -129,7 +152,7 @@ def p9_kinds(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_cutoffs, p2_found, p2_cells, p2_sample, p2_report, p3_found, p3_counts, p4_found, p4_counts, p5_found, p5_groups, p7_found, p7_paraphrases, p8_found, p8_mixture, p8_shares, p9_found, p9_kinds)}
+    return {f.__name__: f for f in (p1_found, p1_cutoffs, p2_found, p2_cells, p2_sample, p2_report, p2_margins, p3_found, p3_counts, p4_found, p4_counts, p5_found, p5_groups, p7_found, p7_paraphrases, p8_found, p8_mixture, p8_shares, p8_word_shares, p9_found, p9_kinds)}
 
 
 _NEGATIVES = """
@@ -196,10 +219,18 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": _CELLS + "select category, sub_category from need where records < need",
         "p2_cells": _CELLS + "select category, sub_category, records, cast(need as bigint) need, cast(greatest(need - records, 0) as bigint) shortfall from need",
         "p2_report": _CELLS + "select category, sub_category, records, cast(need as bigint) need, cast(greatest(need - records, 0) as bigint) shortfall, cast(least(need, records) as bigint) drawn from need",
+        "p2_margins": _CELLS
+        + """select m.margin, m.value, cast(sum(least(need, records)) as bigint) wanted, true met, 0::bigint below_floor
+          from (select *, unnest([{'margin': 'category', 'value': category}, {'margin': 'sub_category', 'value': sub_category}]) m from need) group by all""",
         "p4_found": _OVERLAPS + "select least(a, b) sample_id_a, greatest(a, b) sample_id_b from pairs",
         "p4_counts": _OVERLAPS + "select split, source, count(distinct b) overlapping_rows, count(*) pairs from pairs join base on b = sample_id group by all",
         "p5_found": _KEYS + "select keep_id, sample_id copy_id from keyed join groups using (k) where sample_id <> keep_id",
         "p5_groups": _KEYS + "select keep_id, copies from groups",
+        "p8_word_shares": r"""with t as (
+          select lower(trim(source)) source, coalesce(sum(len(list_filter(string_split_regex(text, '[^\p{L}\p{N}]+'), lambda w: w <> ''))), 0)::bigint n, count(*) c
+          from documents where source is not null and trim(source) <> '' group by 1)
+          select lower(trim(m.source)) source, coalesce(t.n, 0)::bigint tokens, coalesce(c, 0)::bigint documents, ((select sum(n) from t) * target_percent // 100)::bigint target_tokens,
+            100 * m.max_repeats * coalesce(t.n, 0) < m.target_percent * (select sum(n) from t) short, true fits from mix_targets m left join t on t.source = lower(trim(m.source))""",
         # A word or another mark stands for a token: the result is the same for any usual tokenizer.
         "p8_found": r"""with t as (
           select lower(trim(source)) source, coalesce(sum(length(text) / 4.0), 0) n from documents where source is not null group by 1)

@@ -65,9 +65,26 @@ def test_latest_score_row_counts(spark):
 # --- 2: quota sample
 
 def test_tilted_probabilities_meet_their_targets():
-    n, w = np.array([100.0, 5.0, 0.0, 7.0, 1e9]), np.array([13.0, 9.0, 4.0, 0.0, 3.0])
-    p = quota_sample.tilted_probabilities(n, w, 0.2)
-    assert np.allclose(n * p, [13, 5, 0, 0, 3]) and p.max() <= 1
+    n, w = np.array([100.0, 5.0, 7.0, 1e9]), np.array([13.0, 5.0, 1.0, 3.0])
+    p = quota_sample.tilted_probabilities(n, [np.arange(4)], w, 0.2)
+    assert np.allclose(n * p, w, atol=1e-3) and p.max() <= 1
+
+
+def test_tilting_on_two_margins():
+    """Rows and columns of a table are met together, floors are kept, and the solution is the tilted one."""
+    r = np.random.default_rng(5)
+    sizes = r.integers(20, 400, 30).astype(float)
+    rows, columns = np.repeat(np.arange(5), 6), np.tile(np.arange(6), 5)
+    aim = sizes * r.uniform(0.02, 0.6, 30)
+    wanted = np.concatenate([np.bincount(rows, aim), np.bincount(columns, aim)])
+    p = quota_sample.tilted_probabilities(sizes, [rows, columns + 5], wanted, 0.1)
+    assert np.allclose(np.bincount(rows, sizes * p), wanted[:5]) and np.allclose(np.bincount(columns, sizes * p), wanted[5:]) and (p <= 1).all()
+    log = np.log(p[p < 1 - 1e-9] / 0.1)  # a sum of a row's and a column's term
+    design = np.concatenate([np.eye(5)[rows], np.eye(6)[columns]], 1)[p < 1 - 1e-9]
+    assert np.abs(design @ np.linalg.lstsq(design, log, rcond=None)[0] - log).max() < 1e-6
+    least = np.minimum(3 / sizes, 1) * (np.arange(30) % 2)
+    p = quota_sample.tilted_probabilities(sizes, [rows, columns + 5], wanted, 0.1, least)
+    assert (p >= least - 1e-12).all() and np.allclose(np.bincount(rows, sizes * p), wanted[:5])
 
 
 def test_pivotal_keeps_size_and_probabilities():
