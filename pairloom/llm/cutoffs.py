@@ -20,6 +20,7 @@ SKETCH_K = 400
 MARGIN = 4
 #: A bracket with more rows than this is narrowed by another sketch.
 BRACKET_ROWS = 200_000
+#: Rounds of sketches; a bracket that ties keep wide for longer is halved by its distinct scores.
 MAX_ROUNDS = 12
 
 
@@ -60,7 +61,8 @@ def fraction_cutoffs(records: DataFrame, targets: DataFrame, by: list[str], scor
             break
         margin *= 2
     else:
-        closed = closed.unionByName(open_)
+        halved = _halved(scored, open_, by)
+        closed = halved if closed is None else closed.unionByName(halved)
 
     steps = (
         spread_join(scored, closed, by)
@@ -105,6 +107,27 @@ def _narrow(scored: DataFrame, brackets: DataFrame, by: list[str], margin: int)
     return counted.withColumn("right", F.expr("above < need and above + inside >= need"))
 
 
+def _halved(scored: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
+    """Brackets of at most ``BRACKET_ROWS`` distinct scores, by halving these; each round counts the rows above the middle, so it ends and is exact."""
+    tied = spread_join(scored, brackets.select(*by, "lo", "hi"), by).filter("__v between lo and hi").groupBy(*by, "__v").agg(F.count("*").alias("ties"))
+    tied = materialize(tied, "tied")
+    closed, open_ = brackets.limit(0), brackets
+    while True:
+        inside = spread_join(tied, open_, by).filter("__v between lo and hi")
+        middle = inside.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("__v", 0.5, 1000).alias("mid"), *(F.first(c).alias(c) for c in ("need", "lo", "hi", "above", "inside")))
+        middle = materialize(middle, "middle")
+        closed = closed.unionByName(middle.filter(f"n <= {BRACKET_ROWS}").drop("n", "mid"))
+        wide = middle.filter(f"n > {BRACKET_ROWS}").drop("n")
+        if wide.isEmpty():
+            return closed
+        over = spread_join(tied, wide, by).filter("__v between lo and hi").groupBy(*by).agg(F.sum(F.when(F.col("__v") > F.col("mid"), F.col("ties")).otherwise(0)).alias("up"))
+        higher = F.col("above") + F.col("up") >= F.col("need")
+        open_ = materialize(
+            wide.join(over, by).select(*by, "need", F.when(higher, F.col("mid")).otherwise(F.col("lo")).alias("lo"), F.when(higher, F.col("hi")).otherwise(F.col("mid")).alias("hi"), F.when(higher, F.col("above")).otherwise(F.col("above") + F.col("up")).alias("above"), "inside"),
+            "half",
+        )
+
+
 def kept_rows(scored: DataFrame, cutoffs: DataFrame, by: list[str], score: str = "score") -> DataFrame:
     """The scored records at or above the cutoff of their group."""
     limits = cutoffs.filter("cutoff is not null").select(*by, F.col("cutoff").alias("__cutoff"))

@@ -31,9 +31,10 @@ def brute_cutoffs(rows, targets):
     return out
 
 
-@pytest.mark.parametrize("bracket", [5, 200_000])
-def test_cutoffs_are_exact(spark, monkeypatch, bracket):
+@pytest.mark.parametrize("bracket, rounds", [(5, 12), (5, 0), (200_000, 12)])
+def test_cutoffs_are_exact(spark, monkeypatch, bracket, rounds):
     monkeypatch.setattr(cutoffs, "BRACKET_ROWS", bracket)
+    monkeypatch.setattr(cutoffs, "MAX_ROUNDS", rounds)
     r = random.Random(5)
     rows = [("hot", r.choice([0.0, 0.25, 0.5, 1.0])) for _ in range(3000)] + [("fine", r.random()) for _ in range(3000)]
     rows += [("few", x) for x in (1.0, None, float("nan"), -0.0, float("inf"))] + [("none", None), (None, 1.0), ("other", 1.0)]
@@ -328,6 +329,32 @@ def test_ledger_over_batches_equals_one_count(spark):
     assert sorted((x["keep"], x["copy"]) for x in copies.collect()) == sorted((min(g), i) for g in groups.values() for i in g if i != min(g))
 
 
+def test_ledger_over_sessions(spark, tmp_path, monkeypatch):
+    """A second session opens the ledger by its path, adds a batch and reads only the buckets it touches; a failed or repeated update changes nothing."""
+    path = str(tmp_path / "ledger")
+    monkeypatch.setattr(format_ledger, "BUCKET_ROWS", 100)
+    rows = lambda lo, hi: spark.range(lo, hi).select("id", F.unhex(F.md5((F.col("id") % 500).cast("string"))).alias("key"))
+    first = format_ledger.Ledger(spark, path, rows=500)
+    first.update(rows(0, 900), "key", "id", name="monday")
+    assert first.state["buckets"] == 5 and len(first.state["base"]) == 5 and not first.state["delta"]
+    again = format_ledger.Ledger(spark.newSession(), path)
+    again.update(rows(0, 900), "key", "id", name="monday")
+    assert again.version == first.version == 1
+    again.update(rows(900, 903), "key", "id", name="tuesday")  # small: it stays beside the buckets it touches
+    assert 1 <= len(again.state["delta"]) <= 3
+    with pytest.raises(RuntimeError):
+        first.update(rows(903, 904), "key", "id")
+    assert first.version == 1 and not first.state["delta"]
+    third = format_ledger.Ledger(spark.newSession(), path)
+    third.update(rows(903, 1700), "key", "id")
+    third.vacuum()
+    last = format_ledger.Ledger(spark.newSession(), path)
+    got = {(r["keep"], r["copies"]) for r in last.read().collect()}
+    assert got == {(i, len(range(i, 1700, 500))) for i in range(500)} and last.version == 3
+    one = last.read([2])
+    assert {r["bucket"] for r in one.select("bucket").distinct().collect()} == {2} and all("bucket=2" in f for f in one.inputFiles())
+
+
 def test_ledger_of_nothing(spark):
     keyed = spark.createDataFrame([], "id bigint, key binary")
     entries, copies = format_ledger.collapse(keyed, "key", "id", [F.lit(True)])
