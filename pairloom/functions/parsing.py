@@ -13,10 +13,16 @@ SIMPLE_QUESTION = r"(?s)'Question: (.*?) Answer: (.*?)'(?:, |$)"
 LAYOUT = r"(?s)(?:\d+\.\s)?Input: (.*?), Bounding boxes: (\[.*?\]), Background prompt: (.*?), Negative prompt: (.*?), Category: (.*?)(?=(?:\d+\.\s)?Input:|$)"
 
 
+#: Marks put around the matches and between the groups; they are no characters of a text and are dropped from one that has them.
+OPEN, BETWEEN, CLOSE = "\x1c", "\x1d", "\x1e"
+
+
 def find_all(text: Column, pattern: str, names: list[str]) -> Column:
-    """All matches of a pattern, one struct per match with a trimmed field per group. The text is searched once, the groups are read from each match."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.transform(whole, lambda m: F.struct(*[strip(F.regexp_extract(m, pattern, i + 1)).alias(n) for i, n in enumerate(names)]))
+    """All matches of a pattern, one struct per match with a trimmed field per group. One search over the text marks every match and its groups."""
+    bare = F.translate(text, OPEN + BETWEEN + CLOSE, "")
+    marked = F.regexp_replace(bare, pattern, OPEN + BETWEEN.join(f"${i + 1}" for i in range(len(names))) + CLOSE)
+    whole = F.transform(F.slice(F.split(marked, OPEN), 2, 1_000_000_000), lambda x: F.split(F.substring_index(x, CLOSE, 1), BETWEEN))
+    return F.transform(whole, lambda m: F.struct(*[strip(m[i]).alias(n) for i, n in enumerate(names)]))
 
 
 def parse_edits(text: Column, prompt: Column, most: int = 5) -> Column:

@@ -58,8 +58,23 @@ TEXT_QUESTIONS = [
     "Question: Does this image best characterize: (A) {a}, or (B) {b}?",
     "Does this image best capture: (A) {a}, or (B) {b}?",
     "Does this image best illustrate: (A) {a}, or (B) {b}?",
-    *[f"Which of the following best {v} the image: (A) {{a}}, or (B) {{b}}?" for v in ("describes", "represents", "matches", "captures", "illustrates") * 2],
-    *[f"Which description is more {v} for the image: (A) {{a}}, or (B) {{b}}?" for v in ("accurate", "fitting", "suitable", "appropriate", "precise", "exact", "correct")],
+    "Which of the following best describes the image: (A) {a}, or (B) {b}?",
+    "Which of the following best represents the image: (A) {a}, or (B) {b}?",
+    "Which of the following best matches the image: (A) {a}, or (B) {b}?",
+    "Which of the following best captures the image: (A) {a}, or (B) {b}?",
+    "Which of the following best illustrates the image: (A) {a}, or (B) {b}?",
+    "Which of the following best describes the image: (A) {a}, or (B) {b}?",
+    "Which of the following best represents the image: (A) {a}, or (B) {b}?",
+    "Which of the following best matches the image: (A) {a}, or (B) {b}?",
+    "Which of the following best captures the image: (A) {a}, or (B) {b}?",
+    "Which of the following best illustrates the image: (A) {a}, or (B) {b}?",
+    "Which description is more accurate for the image: (A) {a}, or (B) {b}?",
+    "Which description is more fitting for the image: (A) {a}, or (B) {b}?",
+    "Which description is more suitable for the image: (A) {a}, or (B) {b}?",
+    "Which description is more appropriate for the image: (A) {a}, or (B) {b}?",
+    "Which description is more precise for the image: (A) {a}, or (B) {b}?",
+    "Which description is more exact for the image: (A) {a}, or (B) {b}?",
+    "Which description is more correct for the image: (A) {a}, or (B) {b}?",
 ]
 # Wordings of their answers; {k} is the letter, {c} the caption, {s} the caption in sentence case.
 TEXT_ANSWERS = [
@@ -150,6 +165,7 @@ def existence_questions(name: Column, choices: Column) -> Column:
     """Questions on whether an object is there; three more on its number where the name has an article."""
     yes_no = _choices("yes", "no")
     say = lambda a, b: F.concat(F.lit(a), name, F.lit(b))
+    # Wordings of the questions.
     base = [
         _qa(F.lit("What is in the image?"), choices, name),
         _qa(F.lit("What object is visible in the image?"), choices, name),

@@ -48,3 +48,11 @@ def mean(a: Column) -> Column:
 def logit(a: Column, b: Column, scale: float = 100.0) -> Column:
     """Scaled cosine of two vectors, as two-tower models give it; null if either is zero."""
     return cosine(a, b) * scale
+
+
+def mean_pooled(vectors: Column, mask: Column) -> Column:
+    """Mean, by dimension, of the vectors whose mask is set; the number of these counts as 1e-9 at least, so none give zeros."""
+    kept = F.zip_with(vectors, mask, lambda v, m: F.transform(v, lambda x: x.cast("double") * m.cast("double")))
+    total = F.aggregate(kept, F.array_repeat(F.lit(0.0), F.size(vectors[0])), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    n = F.greatest(_sum(F.transform(mask, lambda m: m.cast("double"))), F.lit(1e-9))
+    return F.transform(total, lambda x: x / n)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom.functions import geometry as G
+from pairloom.functions.sampling import weighted
 from pairloom.operators.skew import spread_join, within
 from pairloom.operators.windows import keep_first
 
@@ -74,25 +75,25 @@ def overlapping_pairs(boxes: DataFrame, by: list[str], key: str, box: str = "box
     return a.join(b, [*by, "__cx", "__cy"]).filter((F.col("key_a") < F.col("key_b")) & G.overlaps(F.col("__a"), F.col("__b"))).select(*by, "key_a", "key_b").distinct()
 
 
-#: Queries of a nearest-neighbour search are held by each task; more than this are searched in turns.
+#: Queries of a nearest-neighbour search that each task holds; more are searched in blocks of about so many, one scan each.
 QUERY_BLOCK = 4_096
 
 
-def capped_neighbours(rows: DataFrame, key: str, vector: str, queries: DataFrame, below: float, k: int = 1, most_queries: int = 200_000) -> DataFrame:
+def capped_neighbours(rows: DataFrame, key: str, vector: str, queries: DataFrame, below: float, k: int = 1) -> DataFrame:
     """For each query the ``k`` most similar rows with a cosine below a cap, itself left out: query, match, similarity.
 
     A stated query set goes in blocks over all rows: every task compares its rows with the block
     and keeps ``k`` per query, then these few meet per query. Zero vectors match nothing; of
     equal similarities the smaller key comes first.
     """
-    if not within(queries, most_queries):
-        raise ValueError(f"more than {most_queries} queries")
-    asked = queries.select(key, vector).filter(F.col(vector).isNotNull()).toPandas()
+    asked = queries.select(key, vector).filter(F.col(vector).isNotNull())
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     kind = rows.schema[key].dataType.simpleString()
     out = None
-    for lo in range(0, max(len(asked), 1), QUERY_BLOCK):
-        ids = asked[key].to_numpy()[lo : lo + QUERY_BLOCK]
-        matrix = np.array([np.asarray(v, np.float64) for v in asked[vector][lo : lo + QUERY_BLOCK]])
+    for number in range(blocks):  # each is read for itself, so the driver holds one at a time
+        block = (asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)) == number)).toPandas()
+        ids = block[key].to_numpy()
+        matrix = np.array([np.asarray(v, np.float64) for v in block[vector]])
 
         def search(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
             scale = np.sqrt((matrix * matrix).sum(1)) if len(ids) else np.zeros(0)
@@ -129,3 +130,17 @@ def best_per_class(rows: DataFrame, by: list[str], score: str, order: list[Colum
     """The ``k`` rows with the greatest score in each class."""
     w = Window.partitionBy(*by).orderBy(F.desc(score), *order)
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def class_demos(rows: DataFrame, by: list[str], verdict: str, score: str, order: list[Column], k: int, seed: int, key: Column) -> DataFrame:
+    """Demonstrations of each class: of the 1.5 k most similar rows of either verdict, k // 2 drawn by hash.
+
+    ``rows`` has a boolean ``verdict``; a null one takes no part. ``turn`` gives the order of the class's demonstrations: accepted ones first, rejected ones first, or mixed, with chances of 0.4, 0.4 and 0.2.
+    """
+    near = best_per_class(rows.filter(F.col(verdict).isNotNull()), [*by, verdict], score, order, k * 3 // 2).drop("rank")
+    w = Window.partitionBy(*by, verdict).orderBy(F.xxhash64(F.lit(seed), key), key)
+    drawn = near.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k // 2).drop("__r")
+    way = weighted(["accepted", "rejected", "mixed"], [0.4, 0.4, 0.2], seed, *map(F.col, by))
+    first = F.when(way == "mixed", F.lit(0)).when((way == "accepted") == F.col(verdict), F.lit(0)).otherwise(F.lit(1))
+    turn = Window.partitionBy(*by).orderBy(first, F.xxhash64(F.lit(seed + 1), key), key)  # k rows at most
+    return drawn.withColumn("turn", F.row_number().over(turn))

@@ -140,6 +140,22 @@ def rolling_meter(rows: DataFrame, by: list[str], order: list[Column], value: st
 
 
 def topk_rescored(rows: DataFrame, query: str, score: str, order: list[Column], k: int, rescore: Column, missing: float = -100.0, name: str = "final_score") -> DataFrame:
-    """The ``k`` best candidates of each query with a new score added to the old one; the others stay at ``missing``."""
-    w = Window.partitionBy(query).orderBy(F.desc(score), *order)
-    return rows.withColumn("rank", F.row_number().over(w)).withColumn(name, F.when(F.col("rank") <= k, F.col(score) + rescore).otherwise(F.lit(missing)))
+    """The ``k`` best candidates of each query with a new score added to the old one; the others stay at ``missing``.
+
+    Only ``k`` rows of a query are ranked, before the shuffle too; the others are compared with the last of these. ``order`` must be total
+    within a query. Null and NaN scores are worst.
+    """
+    worst = F.when(F.col(score).isNull() | F.isnan(score), F.lit(float("-inf"))).otherwise(F.col(score))
+    placed = rows.withColumn("__o", F.struct((-worst).alias("s"), *(c.alias(f"o{i}") for i, c in enumerate(order))))
+    w = Window.partitionBy(query).orderBy("__o")
+    last = placed.select(query, "__o").withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).groupBy(query).agg(F.max("__o").alias("__last"))
+    best = F.col("__o") <= F.col("__last")
+    return spread_join(placed, last, [query]).withColumn(name, F.when(best, F.col(score) + rescore).otherwise(F.lit(missing))).drop("__o", "__last")
+
+
+def capped_attempts(rows: DataFrame, by: list[str], order: list[Column], done: Column, retries: int = 1) -> DataFrame:
+    """The attempts of each group that count: up to the first that is ``done``, and no more than one and ``retries`` further ones. A null ``done`` isn't."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    ranked = rows.withColumn("__d", F.coalesce(done, F.lit(False))).withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= retries + 1)
+    before = F.max("__d").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return ranked.withColumn("__b", F.coalesce(before, F.lit(False))).filter("not __b").drop("__d", "__b").withColumnRenamed("__r", "attempt")

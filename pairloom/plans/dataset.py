@@ -9,6 +9,7 @@ from pairloom.functions import geometry as G
 from pairloom.functions import prompts as P
 from pairloom.functions.sampling import chance, draw
 from pairloom.operators.joins import accepted, with_default
+from pairloom.operators.skew import spread_join
 from pairloom.operators.windows import keep_first, quota, stratified_quota
 
 
@@ -31,7 +32,7 @@ def contrastive_rows(samples: DataFrame) -> DataFrame:
 
 def difference_rows(samples: DataFrame, differences: DataFrame) -> DataFrame:
     """Negatives whose visual difference is known, with it."""
-    return flat_negatives(samples).join(differences.select("image_id", "edit_id", "visdiff"), ["image_id", "edit_id"]).select("image_path", "edited_image_path", "visdiff", "edit_id")
+    return spread_join(flat_negatives(samples), differences.select("image_id", "edit_id", "visdiff"), ["image_id", "edit_id"]).select("image_path", "edited_image_path", "visdiff", "edit_id")
 
 
 def matching_rows(samples: DataFrame, seed: int = 7, rate: float = 0.25) -> DataFrame:
@@ -93,19 +94,24 @@ def scored_negatives(edits: DataFrame, verdicts: DataFrame, tags: DataFrame, thr
     return with_default(kept.withColumn("category", pair["category"]), tags, ["image_id", "edit_id"], "sub_category", "Others")
 
 
+def of_kept_images(rows: DataFrame, edits: DataFrame, unwanted: str = "open_ended", image: str = "image_id") -> DataFrame:
+    """Rows of images whose counting edits come from a wanted source; an image with an unwanted one goes as a whole, with its object and attribute negatives."""
+    return spread_join(rows, edits.filter(F.col("image_edit_source") == unwanted).select(image).filter(F.col(image).isNotNull()).distinct(), [image], "left_anti")
+
+
 def counting_negatives(edits: DataFrame, refined: DataFrame, caps: dict[str, int]) -> DataFrame:
     """Counting negatives: perfect ones with a picture, one per new caption, at most so many per original count.
 
     ``edits`` has image_id, pos, id, new_image_path, tifa_score, new_caption, object_name,
     original_object_count, image_edit_source. A refined caption, unless empty, replaces the new one.
     """
-    good = edits.filter("image_edit_source <> 'open_ended' and new_image_path is not null and tifa_score = 1")
+    good = of_kept_images(edits, edits).filter("image_edit_source is not null and new_image_path is not null and tifa_score = 1")
     unique = keep_first(good, ["image_id", "new_caption"], [F.col("pos")])
     count = F.col("original_object_count")
     limited = quota(unique.withColumn("sub_category", count.cast("string")), "sub_category", caps, [F.col("image_id"), F.col("pos")])
     phrase = lambda n: F.concat(n.cast("string"), F.lit(" "), F.when(n > 1, C.pluralize(F.col("object_name"))).otherwise(F.col("object_name")))
     better = refined.select("image_id", F.nullif("caption", F.lit("")).alias("__refined"))
-    return limited.join(better, "image_id", "left").select(
+    return spread_join(limited, better, ["image_id"], "left").select(
         "image_id", F.col("new_image_path").alias("edited_image_path"), F.coalesce("__refined", "new_caption").alias("edited_caption"), phrase(count).alias("input_phrase"), phrase(count - 1).alias("edited_phrase"),
         F.lit("counting").alias("category"), "sub_category", F.col("id").alias("edit_id"),
     )

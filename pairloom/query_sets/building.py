@@ -80,11 +80,11 @@ def matching_rows_drawn(spark, root):
     return rows.groupBy("sample_id", "pos").agg(F.count("*").cast("int").alias("questions"))
 
 
-@query(f"with {_FLAT} select sample_id, count(*) n, arg_min(edit_id, pos) first_edit, arg_max(edit_id, pos) last_edit from flat where edit_id is not null group by 1")
+@query(f"with {_FLAT} select sample_id, string_agg(coalesce(edit_id, '-') || ':' || coalesce(category, '-'), '|' order by pos) negatives from flat group by 1")
 def nested_samples(spark, root):
-    s = D.nested_samples(_flat(spark, root).filter("edit_id is not null"), ["sample_id"], ["edit_id", "category"], "pos")
-    at = lambda i: F.element_at("negatives", i)["edit_id"]
-    return s.select("sample_id", F.size("negatives").cast("bigint").alias("n"), at(1).alias("first_edit"), at(-1).alias("last_edit"))
+    s = D.nested_samples(_flat(spark, root), ["sample_id"], ["edit_id", "category"], "pos")
+    one = lambda n: F.concat(F.coalesce(n["edit_id"], F.lit("-")), F.lit(":"), F.coalesce(n["category"], F.lit("-")))
+    return s.select("sample_id", F.array_join(F.transform("negatives", one), "|").alias("negatives"))
 
 
 @query("select lower(trim(source)) source, count(*) positives, cast(sum(coalesce(len(negatives), 0)) as bigint) negatives from samples group by 1")
@@ -333,6 +333,43 @@ def matching_instances(spark, root):
     return J.matching_instances(n, s, ["n_nationkey"], [F.desc("s_acctbal"), F.col("s_suppkey")]).select("n_nationkey", "s_suppkey", "s_name")
 
 
+@query(
+    """with r as (select p_brand, p_size % 2 = 0 verdict, p_partkey, row_number() over (partition by p_brand, p_size % 2 = 0 order by p_retailprice desc, p_partkey) r from part)
+  select p_brand, verdict, least(count(*), 4) demos, true as among_best from r group by 1, 2"""
+)
+def class_demos(spark, root):
+    """Which rows are drawn depends on the hash; how many of each verdict, and that they are among the best twelve, doesn't."""
+    p = table(spark, root, "part").withColumn("verdict", F.col("p_size") % 2 == 0)
+    args = (["p_brand"], "verdict", "p_retailprice", [F.col("p_partkey")])
+    best = J.best_per_class(p, ["p_brand", "verdict"], "p_retailprice", [F.col("p_partkey")], 12).select("p_partkey", F.lit(True).alias("best"))
+    drawn = J.class_demos(p, *args, 8, 7, F.col("p_partkey")).join(best, "p_partkey", "left")
+    return drawn.groupBy("p_brand", "verdict").agg(F.count("*").alias("demos"), F.bool_and(F.coalesce("best", F.lit(False))).alias("among_best"))
+
+
+@query(
+    """with s as (select *, row_number() over (partition by edited_image_path order by scored_at nulls first, score_id, tifa_score) r, coalesce(tifa_score >= 0.75 and not isnan(tifa_score), false) done from image_scores where edited_image_path is not null),
+  f as (select edited_image_path p, min(r) first from s where done group by 1)
+  select score_id, r::int as attempt from s left join f on p = edited_image_path where r <= 2 and (first is null or r <= first)"""
+)
+def capped_attempts(spark, root):
+    """Scores of a picture as attempts at it: it is tried again once at most, and not after a good one."""
+    s = table(spark, root, "image_scores").filter("edited_image_path is not null")
+    done = (F.col("tifa_score") >= 0.75) & ~F.isnan("tifa_score")
+    return W.capped_attempts(s, ["edited_image_path"], [F.col("scored_at").asc_nulls_first(), F.col("score_id"), F.col("tifa_score")], done).select("score_id", "attempt")
+
+
+@query(
+    f"""with {_FLAT}, u as (select distinct image_id from annotation_files where dataset = (select min(dataset) from annotation_files) and image_id is not null)
+  select sample_id, pos, edit_id from flat where image_id is null or image_id not in (select image_id from u)"""
+)
+def kept_images(spark, root):
+    """An image whose counting edits are of an unwanted source goes with all its negatives."""
+    f = table(spark, root, "annotation_files")
+    least = f.agg(F.min("dataset")).first()[0]
+    edits = f.select("image_id", F.when(F.col("dataset") == least, "open_ended").otherwise("coco").alias("image_edit_source"))
+    return D.of_kept_images(_flat(spark, root), edits).select("sample_id", "pos", "edit_id")
+
+
 @query("select p_brand, p_partkey, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) as rank from part qualify rank <= 5")
 def best_per_class(spark, root):
     return J.best_per_class(table(spark, root, "part"), ["p_brand"], "p_retailprice", [F.col("p_partkey")], 5).select("p_brand", "p_partkey", "rank")

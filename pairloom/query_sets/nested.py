@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from pairloom.plans import annotations
 from pairloom.query_sets import query
 from pairloom.sources.tables import table
@@ -9,7 +11,7 @@ from pairloom.sources.tables import table
 
 # The payloads level by level, parts that are strings decoded; NaN, which is no JSON here, stands as a number of its own.
 _NAN = "-987654321"
-_LEVELS = rf"""with raw as (select file_id, regexp_replace(payload, ':\s*NaN', ': {_NAN}', 'g') p from annotation_files),
+LEVELS = rf"""with raw as (select file_id, regexp_replace(payload, ':\s*NaN', ': {_NAN}', 'g') p from annotation_files),
 once as (select file_id, case when json_type(p) = 'VARCHAR' then p ->> '$' else p end p from raw where json_valid(p)),
 docs as (select file_id, case when json_type(p) = 'VARCHAR' then p ->> '$' else p end p from once where json_valid(p)),
 held as (select file_id, json_extract(p, '$.annotations') a from docs where json_valid(p)),
@@ -38,7 +40,7 @@ def _tables(spark, root):
 
 
 @query(
-    _LEVELS
+    LEVELS
     + """select 'samples' parent_table, sample_id parent_id, 'negative' as level, (pos - 1)::int pos, '' image_key, '' question
     from (select sample_id, unnest(negatives) n, generate_subscripts(negatives, 1) pos from samples) where n is not null
   union all select 'annotation_files', file_id, 'unreadable', 0, '', '' from annotation_files where file_id not in (select file_id from docs where json_valid(p))
@@ -60,7 +62,7 @@ def p6_negatives(spark, root):
 
 
 @query(
-    _LEVELS
+    LEVELS
     + f"select {_KEY.format('steps')} annotation_key, file_id, pos::int pos, "
     + ", ".join(f"e ->> '$.{c}' as {c.replace('.', '_')}" for c in annotations.ANNOTATION_COLUMNS)
     + " from annotations"
@@ -69,12 +71,12 @@ def p6_annotations(spark, root):
     return _tables(spark, root)["annotations"].drop("more")
 
 
-@query(_LEVELS + f"select {_KEY.format('steps')} score_key, {_KEY.format('up')} annotation_key, image_key, {_NUMBER.format('tifa_score', 'tifa_score')}, {_NUMBER.format('region_tifa_score', 'region_tifa_score')} from scores")
+@query(LEVELS + f"select {_KEY.format('steps')} score_key, {_KEY.format('up')} annotation_key, image_key, {_NUMBER.format('tifa_score', 'tifa_score')}, {_NUMBER.format('region_tifa_score', 'region_tifa_score')} from scores")
 def p6_scores(spark, root):
     return _tables(spark, root)["scores"].drop("more")
 
 
-@query(_LEVELS + f"select {_KEY.format('steps')} question_key, {_KEY.format('up')} score_key, question, e ->> '$.answer' answer, e ->> '$.multiple_choice_vqa' multiple_choice_vqa, {_NUMBER.format('scores', 'matched')} from questions")
+@query(LEVELS + f"select {_KEY.format('steps')} question_key, {_KEY.format('up')} score_key, question, e ->> '$.answer' answer, e ->> '$.multiple_choice_vqa' multiple_choice_vqa, {_NUMBER.format('scores', 'matched')} from questions")
 def p6_questions(spark, root):
     return _tables(spark, root)["questions"].drop("more")
 
@@ -82,3 +84,27 @@ def p6_questions(spark, root):
 @query()
 def p6_elements(spark, root):
     return annotations.every_element(table(spark, root, "annotation_files"))
+
+
+def question_rows(spark, root):
+    """Question, choices and answer of every question that has them."""
+    found = annotations.annotation_elements(table(spark, root, "annotation_files"), ["question_details", "choices"])
+    choice = found.filter("node = 'choices'").select("parent_key", F.element_at("steps", -1).cast("int").alias("at"), F.get_json_object("inlined", "$.value").alias("v"))
+    listed = choice.groupBy("parent_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias("choices"))
+    asked = found.filter("node = 'question_details'").select(F.col("element_key").alias("parent_key"), F.element_at("steps", -1).alias("question"), F.get_json_object("inlined", "$.answer").alias("answer"))
+    return asked.filter("question is not null and answer is not null").join(listed, "parent_key").drop("parent_key")
+
+
+def layout_rows(spark, root):
+    """Prompt, named boxes and texts of every annotation that is a layout."""
+    found = annotations.annotation_elements(table(spark, root, "annotation_files"), ["annotations", "bounding_boxes[]", "bounding_boxes[][]"])
+    at = lambda i: F.col("steps")[i].cast("int")
+    value = F.get_json_object("inlined", "$.value")
+    name = found.filter((F.col("node") == "bounding_boxes[]") & value.isNotNull()).select("file_id", at(1).alias("a"), at(3).alias("b"), F.struct(F.lit(-1).alias("i"), value.alias("v")).alias("s"))
+    side = found.filter("node = 'bounding_boxes[][]'").select("file_id", at(1).alias("a"), at(3).alias("b"), F.struct(at(7).alias("i"), value.alias("v")).alias("s"))
+    one = name.unionByName(side).groupBy("file_id", "a", "b").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["v"]).alias("v")).filter("size(v) = 5")
+    box = F.struct("b", F.col("v")[0].alias("name"), F.slice("v", 2, 4).cast("array<int>").alias("box"))
+    boxes = one.groupBy("file_id", "a").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+    text = lambda n: F.coalesce(F.get_json_object("inlined", f"$.{n}"), F.lit(""))
+    made = found.filter("node = 'annotations'").select("file_id", at(1).alias("a"), F.get_json_object("inlined", "$.prompt").alias("prompt"), text("background_prompt").alias("background"), text("negative_prompt").alias("negative"), text("category").alias("category"))
+    return made.filter("prompt is not null").join(boxes, ["file_id", "a"])

@@ -12,7 +12,8 @@ from pairloom.functions import parsing as R
 from pairloom.functions import prompts as P
 from pairloom.functions import vectors as V
 from pairloom.operators import joins as J
-from pairloom.query_sets import query
+from pairloom.operators import metrics as M
+from pairloom.query_sets import nested, query
 from pairloom.sources.tables import table
 
 _STRIP = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
@@ -149,38 +150,62 @@ def background_texts(spark, root):
     )
 
 
-_CLEAN = "n.input_phrase is not null and n.edited_phrase is not null and n.edited_caption is not null and n.category is not null and not contains(caption || n.edited_caption || n.edited_phrase || n.input_phrase, '\"') and not regexp_matches(caption || n.edited_caption || n.edited_phrase || n.input_phrase, '[\\n\\r]')"
+_EDIT = R.EDIT.removeprefix("(?d)").replace("'", "''")
+_EDITS = f"""with t as (
+    select sample_id, caption, string_agg('{{"InputCaption": "' || caption || '", "SelectedPhrase": "' || n.input_phrase || '", "EditedPhrase": "' || n.edited_phrase || '", "EditedRegionPhrase": "' || n.edited_phrase
+      || '", "EditedCaption": "' || n.edited_caption || '", "Category": "' || n.category || '"}}', ', ' order by pos) text
+    from (select sample_id, caption, unnest(negatives) n, generate_subscripts(negatives, 1) pos from samples where caption is not null) group by 1, 2),
+  m as (select sample_id, caption, unnest(regexp_extract_all(text, '{_EDIT}', 1)) echoed, unnest(regexp_extract_all(text, '{_EDIT}', 2)) input_phrase, unnest(regexp_extract_all(text, '{_EDIT}', 3)) edited_phrase,
+    unnest(regexp_extract_all(text, '{_EDIT}', 5)) edited_caption, unnest(regexp_extract_all(text, '{_EDIT}', 6)) category from t)
+  select sample_id, {_STRIP.format('input_phrase')} input_phrase, {_STRIP.format('edited_phrase')} edited_phrase, {_STRIP.format('edited_caption')} edited_caption, {_STRIP.format('category')} category from m
+  where levenshtein({_STRIP.format('echoed')}, caption) <= 5 and levenshtein(lower({_STRIP.format('edited_phrase')}), 'no attribute change') > 1
+    and (contains(split_part(category, '(', 1), 'object') or contains(split_part(category, '(', 1), 'attribute'))"""
 
 
-@query(
-    f"""select sample_id, cast(count(*) as int) edits, min(n.edited_phrase) first_phrase from (select sample_id, caption, unnest(negatives) n from samples where caption is not null) where {_CLEAN}
-  and (contains(split_part(n.category, '(', 1), 'object') or contains(split_part(n.category, '(', 1), 'attribute')) and {_STRIP.format('caption')} = caption and {_STRIP.format('n.edited_phrase')} = n.edited_phrase group by 1"""
-)
+@query(_EDITS)
 def parse_edits(spark, root):
-    clean = lambda n: (n["input_phrase"].isNotNull() & n["edited_phrase"].isNotNull() & n["edited_caption"].isNotNull() & n["category"].isNotNull() & ~F.concat(F.col("caption"), n["edited_caption"], n["edited_phrase"], n["input_phrase"]).rlike('["\n\r]') & (C.strip(F.col("caption")) == F.col("caption")) & (C.strip(n["edited_phrase"]) == n["edited_phrase"]))
-    rows = table(spark, root, "samples").filter("caption is not null").withColumn("negatives", F.filter("negatives", lambda n: F.coalesce(clean(n), F.lit(False))))
+    """The negatives of each sample written as a model writes edits, quotations, blanks and all, and read again."""
+    rows = table(spark, root, "samples").filter("caption is not null")
     one = lambda n: F.concat(
         F.lit('{"InputCaption": "'), F.col("caption"), F.lit('", "SelectedPhrase": "'), n["input_phrase"], F.lit('", "EditedPhrase": "'), n["edited_phrase"], F.lit('", "EditedRegionPhrase": "'), n["edited_phrase"],
         F.lit('", "EditedCaption": "'), n["edited_caption"], F.lit('", "Category": "'), n["category"], F.lit('"}'),
     )
     found = R.parse_edits(F.array_join(F.transform("negatives", one), ", "), F.col("caption"))
-    return rows.select("sample_id", F.explode(found).alias("e")).groupBy("sample_id").agg(F.count("*").cast("int").alias("edits"), F.min("e.edited_phrase").alias("first_phrase"))
+    return rows.select("sample_id", F.explode(found).alias("e")).select("sample_id", "e.input_phrase", "e.edited_phrase", "e.edited_caption", "e.category")
 
 
-@query("select p_partkey, 2 as questions, 'Is it ' || p_type || '?' as first_question, 'yes|no' as choices, 'yes' as answer, 'Q ' || p_brand as simple, p_type as reply from part")
+@query(
+    nested.LEVELS
+    + """select question, list_transform(json_extract(e, '$.choices[*]'), lambda c: c ->> '$') choices, trim(translate(e ->> '$.answer', '!"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', '')) answer, question simple, e ->> '$.answer' reply
+    from questions where question is not null and json_type(e) = 'OBJECT' and e ->> '$.answer' is not null and json_type(e, '$.choices') = 'ARRAY'"""
+)
 def parse_questions(spark, root):
-    text = F.concat(F.lit("Question: Is it "), "p_type", F.lit("? Choices: ['yes', 'no'] Answer: yes.\", \"Question: Which? Choices: [\"a\", \"b\"] Answer: a"))
-    simple = F.concat(F.lit("['Question: Q "), "p_brand", F.lit(" Answer: "), "p_type", F.lit("']"))
-    rows = table(spark, root, "part").select("p_partkey", R.parse_questions(text).alias("q"), R.parse_simple_questions(simple).alias("s"))
-    return rows.select("p_partkey", F.size("q").alias("questions"), F.col("q")[0]["question"].alias("first_question"), F.array_join(F.col("q")[0]["choices"], "|").alias("choices"), F.col("q")[0]["answer"].alias("answer"), F.col("s")[0]["user"].alias("simple"), F.col("s")[0]["assistant"].alias("reply"))
+    """The questions of all annotations written as a model writes them, and read again."""
+    rows = nested.question_rows(spark, root)
+    listed = F.concat(F.lit("['"), F.array_join("choices", "', '"), F.lit("']"))
+    text = F.concat(F.lit("Question: "), "question", F.lit(" Choices: "), listed, F.lit(" Answer: "), "answer", F.lit('", "Question: Which? Choices: [unreadable] Answer: a'))
+    simple = F.concat(F.lit("['Question: "), "question", F.lit(" Answer: "), "answer", F.lit("']"))
+    found = rows.select(F.explode(R.parse_questions(text)).alias("q"), R.parse_simple_questions(simple)[0].alias("s"))
+    return found.select("q.question", "q.choices", "q.answer", F.col("s.user").alias("simple"), F.col("s.assistant").alias("reply"))
 
 
-@query("select p_partkey, 'A ' || p_type as prompt, 2 as boxes, 'a ' || p_type as name, p_size::double as x, 40.0::double as w, 'bg' as background, 'relation(left)' as category from part")
+@query(
+    nested.LEVELS
+    + """, boxed as (select e, list_transform(json_extract(e, '$.bounding_boxes[*]'), lambda b: (b ->> '$[0]') || ':' || array_to_string(list_transform(json_extract(b, '$[1][*]'), lambda x: (x ->> '$')::int::varchar), ',')) boxes
+      from annotations where e ->> '$.prompt' is not null and json_type(e, '$.bounding_boxes') = 'ARRAY' and json_type(e, '$.bounding_boxes[0]') = 'ARRAY' and json_type(e, '$.bounding_boxes[0][0]') = 'VARCHAR')
+    select e ->> '$.prompt' prompt, boxes, coalesce(e ->> '$.background_prompt', '') background, coalesce(e ->> '$.negative_prompt', '') negative, coalesce(e ->> '$.category', '') category from boxed"""
+)
 def parse_layouts(spark, root):
-    text = F.concat(F.lit("1. Input: A "), "p_type", F.lit(", Bounding boxes: [('a "), "p_type", F.lit("', ["), F.col("p_size").cast("string"), F.lit(", 10, 40, 50]), ('a cat', [200, 20, 30, 60])], Background prompt: bg, Negative prompt: , Category: relation(left)"))
-    rows = table(spark, root, "part").select("p_partkey", F.explode(R.parse_layouts(text)).alias("l")).select("p_partkey", "l.*")
-    b = F.col("bounding_boxes")
-    return rows.select("p_partkey", "prompt", F.size(b).alias("boxes"), b[0]["name"].alias("name"), b[0]["x"].alias("x"), b[0]["w"].alias("w"), F.col("background_prompt").alias("background"), "category")
+    """The layouts of all annotations written as a model writes them, and read again."""
+    rows = nested.layout_rows(spark, root)
+    one = lambda b: F.concat(F.lit("('"), b["name"], F.lit("', ["), F.array_join(b["box"].cast("array<string>"), ", "), F.lit("])"))
+    text = F.concat(
+        F.lit("1. Input: "), "prompt", F.lit(", Bounding boxes: ["), F.array_join(F.transform("boxes", one), ", "), F.lit("], Background prompt: "), "background", F.lit(", Negative prompt: "), "negative", F.lit(", Category: "), "category",
+        F.lit("\n2. Input: b, Bounding boxes: [unreadable], Background prompt: b, Negative prompt: n, Category: c"),
+    )
+    found = rows.select(F.explode(R.parse_layouts(text)).alias("l")).select("l.*")
+    box = lambda b: F.concat(b["name"], F.lit(":"), F.array_join(F.array(*[b[c].cast("int").cast("string") for c in "xywh"]), ","))
+    return found.select("prompt", F.transform("bounding_boxes", box).alias("boxes"), F.col("background_prompt").alias("background"), F.col("negative_prompt").alias("negative"), "category")
 
 
 @query("select p_partkey, 'first ' || p_type as cut, 2 as lines, p_brand || '|' || p_type as listed, cast(null as varchar) as junk, p_type || ' of ' || p_brand as reformatted from part")
@@ -305,10 +330,10 @@ def vector_measures(spark, root):
 
 @query(
     """select id, 9 as asked, 'How many ' || w || 's are there in the image?' as seventh, 'Do you see a ' || w || ' in the image?' as removed, 'Do it.' || chr(10) || '1. one' || chr(10) || '2. two' || chr(10) || '3. In: ' || caption_0 || ' Out:' as prompt,
-  'not ' || lower(caption_1) as contrast, 2 as turns from (select *, 'dog' w from bench_pairs)"""
+  'not ' || lower(caption_1) as contrast, 2 as turns from (select *, regexp_replace(lower(split_part(caption_0, ' ', 2)), '[^a-z]', 'x', 'g') || 'ab' w from bench_pairs)"""
 )
 def prompt_assembly(spark, root):
-    name = F.lit("a dog")
+    name = F.concat(F.lit("a "), F.regexp_replace(F.lower(F.split_part("caption_0", F.lit(" "), F.lit(2))), "[^a-z]", "x"), F.lit("ab"))
     asked = P.existence_questions(name, F.array(F.lit("x"), name))
     return table(spark, root, "bench_pairs").select(
         "id", F.size(asked).alias("asked"), asked[6]["question"].alias("seventh"), P.removal_questions(C.strip_article(name))[0]["question"].alias("removed"),
@@ -359,3 +384,28 @@ def map_helpers(spark, root):
     return table(spark, root, "part").select(
         "p_partkey", F.array_join(F.transform(cols, lambda c: F.array_join(c.cast("array<string>"), ",")), ";").alias("columns"), flipped["v"].alias("key"), both["a"].alias("merged"), F.size(both).alias("entries")
     )
+
+
+@query(
+    """select vec_id, list_transform(range(1, 5), lambda d: round((embedding[d]::double + (vec_id % 2) * embedding[4 + d]::double + embedding[8 + d]::double) / greatest(2 + vec_id % 2, 1e-9), 6)) pooled,
+  list_transform(range(1, 5), lambda d: 0.0::double) of_none from embeddings"""
+)
+def mean_pooled(spark, root):
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * 4 + 1, 4))
+    mask = F.array(F.lit(1), (F.col("vec_id") % 2).cast("int"), F.lit(1), F.lit(0))
+    rounded = lambda c: F.transform(c, lambda x: F.round(x, 6))
+    return table(spark, root, "embeddings").select("vec_id", rounded(V.mean_pooled(tokens, mask)).alias("pooled"), rounded(V.mean_pooled(tokens, F.array(*[F.lit(0)] * 4))).alias("of_none"))
+
+
+@query("select response_id, editedcaption is not null and contains(editedcaption, inputcaption) and contains(editedcaption, editedphrase) whole, contains(editedcaption, 'a') and contains(editedcaption, ' in ') keys from edit_responses where editedcaption is not null and inputcaption is not null and editedphrase is not null")
+def keys_present(spark, root):
+    r = table(spark, root, "edit_responses").filter("editedcaption is not null and inputcaption is not null and editedphrase is not null")
+    said = F.col("editedcaption")
+    return r.select("response_id", (F.contains(said, F.col("inputcaption")) & F.contains(said, F.col("editedphrase"))).alias("whole"), C.has_all(said, ["a", " in "]).alias("keys"))
+
+
+@query("select l_returnflag, l_linestatus, round_even(100.0 * count(*) filter (l_quantity > 25) / count(*), 2) share, round(100.0 * count(*) filter (l_quantity > 25) / count(*), 6) plain from lineitem group by 1, 2")
+def rounded_shares(spark, root):
+    """Shares in per cent, rounded half to even."""
+    hit = F.col("l_quantity") > 25
+    return table(spark, root, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(M.percent(hit).alias("share"), F.round(M.percent(hit, None), 6).alias("plain"))

@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import json
+from datetime import timedelta
+
+from pyspark.sql import DataFrame, functions as F
 
 from pairloom.query_sets import query
-from pairloom.session import scratch_path
+from pairloom.session import materialize, scratch_path
 from pairloom.sources import adapters as A
 from pairloom.sources import readers, sinks
 from pairloom.sources.tables import table
 from pairloom.streaming import resume
 
 
-@query("select '/r/' || image_0 as image_0, caption_0 || (case when caption_0 like '%.' then '' else '.' end) as caption_0, '/r/' || image_1 as image_1, replace(array_to_string(list_slice(string_split(image_0, '/'), 1, 3), '-'), '.png', '') as id, string_split(image_0, '/')[1] as tag from bench_pairs")
+@query("select '/r/' || image_0 as image_0, caption_0 || (case when caption_0 like '%.' then '' else '.' end) as caption_0, '/r/' || image_1 as image_1, caption_1 || (case when caption_1 like '%.' then '' else '.' end) as caption_1, replace(array_to_string(list_slice(string_split(image_0, '/'), 1, 3), '-'), '.png', '') as id, string_split(image_0, '/')[1] as tag from bench_pairs")
 def path_pairs(spark, root):
     b = table(spark, root, "bench_pairs").select(F.col("image_0").alias("image0"), F.col("caption_0").alias("caption0"), F.col("image_1").alias("image1"), F.col("caption_1").alias("caption1"))
-    return A.path_pairs(b, "/r").drop("caption_1")
+    return A.path_pairs(b, "/r")
 
 
-@query("select '/r/' || image_0 as image_0, '/r/' || image_1 as image_1, caption_0, caption_1, tag as subject from bench_pairs where tag is not null")
+@query("select '/r/' || image_0 as image_0, '/r/' || image_1 as image_1, caption_0, caption_1, coalesce(tag, 'none') as subject from bench_pairs")
 def nested_map_pairs(spark, root):
-    b = table(spark, root, "bench_pairs").filter("tag is not null")
+    b = table(spark, root, "bench_pairs").fillna("none", ["tag"])
     frame = F.struct(F.col("image_0").alias("image0"), F.col("image_1").alias("image1"), F.array("caption_0").alias("caption0"), F.array("caption_1").alias("caption1"))
     nested = b.groupBy("id", "tag").agg(F.collect_list(frame).alias("f")).select(F.create_map("id", F.create_map("tag", "f")).alias("m"))
     return A.subject_pairs(nested, "m", "/r")
@@ -161,19 +164,15 @@ def csv_round_trip(spark, root):
     return spark.read.schema("event_id bigint, event_type string, value double").option("header", True).csv(path)
 
 
-@query("select event_id as k, event_type as v from events")
+@query("select event_id as k, case when event_id % 3 = 0 then 'old' else event_type end as v from events")
 def keyed_documents(spark, root):
-    """Maps in chunk files; what a later file says wins."""
+    """Chunk files that map a thousand keys each; what a later file says of a key wins."""
     path = scratch_path(spark, "chunks")
     e = table(spark, root, "events").select("event_id", "event_type")
-    for name, value in (("a", F.lit("old")), ("b", F.col("event_type"))):
-        doc = e.groupBy(F.pmod("event_id", F.lit(16)).alias("g")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("event_id").cast("string"), value)))).alias("value")).select("value")
-        doc.write.text(f"{path}/{name}")
-    # One document per line here; the reader takes whole files, so each line goes into a file of its own folder.
-    rows = spark.read.text(f"{path}/*").select(F.explode(F.from_json("value", "map<string,string>")).alias("k", "v"), F.col("_metadata.file_path").alias("file"))
-    from pairloom.operators.upserts import last_by
-
-    return last_by(rows.withColumn("chunk", F.regexp_extract("file", "/([ab])/", 1)), ["k"], [F.col("chunk")]).select(F.col("k").cast("bigint").alias("k"), "v")
+    for name, rows, value in (("a", e, F.lit("old")), ("b", e.filter("event_id % 3 <> 0"), F.col("event_type"))):
+        doc = rows.groupBy(F.floor(F.col("event_id") / 1000).alias("g")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("event_id").cast("string"), value)))).alias("value"))
+        doc.write.partitionBy("g").text(f"{path}/{name}")  # one document in each folder
+    return readers.keyed_documents(spark, f"{path}/*/*/*.txt", "string").select(F.col("key").cast("bigint").alias("k"), F.col("value").alias("v"))
 
 
 @query("select image_id, caption, '/r/' || (case when sample_id % 2 = 0 then 'val' else 'train' end) || '2017/' || image_id || '.jpg' as image_path from samples where split = 'train'")
@@ -188,22 +187,25 @@ def one_caption_per_image(spark, root):
     return readers.one_caption_per_image(s, "image_id", F.col("sample_id")).select("image_id", "caption")
 
 
-@query("select o_orderkey as k, min(l_returnflag) as input, 'Question: ' as start, count(*) as lines from orders join lineitem on o_orderkey = l_orderkey where l_linenumber = 1 group by 1")
+@query(
+    """select l_orderkey as k, first(l_returnflag order by l_linenumber, l_partkey, l_suppkey) as input,
+  string_agg('Question: ' || l_linestatus || ' Choices: ' || l_quantity::int || ' Answer: ' || l_returnflag, '|' order by l_linenumber, l_partkey, l_suppkey) as output from lineitem group by 1"""
+)
 def question_demos(spark, root):
-    l = table(spark, root, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("k"), F.struct("l_returnflag", "l_partkey").alias("at"), F.col("l_returnflag").alias("caption"), F.col("l_linestatus").alias("question"), F.col("l_returnflag").alias("answer"), F.lit("x").alias("choices"))
-    known = l.join(table(spark, root, "orders").select(F.col("o_orderkey").alias("k")), "k", "left_semi")
-    return readers.question_demos(known, "k", "at").select("k", "input", F.substring(F.col("output")[0], 1, 10).alias("start"), F.size("output").cast("bigint").alias("lines"))
+    at = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    lines = table(spark, root, "lineitem").select(F.col("l_orderkey").alias("k"), at.alias("at"), F.col("l_returnflag").alias("caption"), F.col("l_linestatus").alias("question"), F.col("l_returnflag").alias("answer"), F.bround("l_quantity").cast("int").alias("choices"))
+    return readers.question_demos(lines, "k", "at").withColumn("output", F.array_join("output", "|"))
 
 
-@query("select event_type, count(*) n from events group by 1")
+@query("select event_id, case when event_id % 3 = 0 then 'seen again' else event_type end as event_type from events")
 def stream_resume(spark, root):
-    """New files are processed once, in two runs, and merged by key."""
+    """New files are processed once, in three runs, and merged by key; the last of them has rows of the first again."""
     src, out, check = (scratch_path(spark, n) for n in ("in", "out", "checkpoint"))
     e = table(spark, root, "events").select("event_id", "event_type")
-    for part in (0, 1):
-        e.filter(F.col("event_id") % 2 == part).write.mode("append").parquet(src)
+    for part in (e.filter("event_id % 2 = 0"), e.filter("event_id % 2 = 1"), e.filter("event_id % 3 = 0").withColumn("event_type", F.lit("seen again"))):
+        part.write.mode("append").parquet(src)
         resume.process_new(spark, src, "event_id bigint, event_type string", check, lambda b: b, out, ["event_id"]).awaitTermination()
-    return resume.latest(spark, out).groupBy("event_type").agg(F.count("*").alias("n"))
+    return resume.latest(spark, out, ["event_id"])
 
 
 @query("select time_bucket(interval 1 day, ts, timestamp '1970-01-01') as window_start, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2")
@@ -212,6 +214,20 @@ def windowed_counts(spark, root):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("select time_bucket(interval 1 day, ts, timestamp '1970-01-01') as window_start, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2")
+def windowed_stream(spark, root):
+    """The same counts from a stream of files: all events, then events of the first day again, which are too late, then one far ahead, which closes the windows."""
+    src, out, check = (scratch_path(spark, n) for n in ("in", "out", "checkpoint"))
+    e = table(spark, root, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    edge = e.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+    ahead = spark.range(1).select(F.lit(edge["last"] + timedelta(days=30)).alias("ts"), F.lit("ahead").alias("event_type"), F.lit(0.0).alias("value"))
+    for rows in (e.coalesce(1), e.filter(F.col("ts") < F.lit(edge["first"] + timedelta(days=1))).coalesce(1), ahead, ahead):
+        rows.write.mode("append").parquet(src)
+        resume.count_windows(spark, src, "ts timestamp, event_type string, value double", check, out, "ts", ["event_type"], "value").awaitTermination()
+    found = spark.read.parquet(out)
+    return found.filter("event_type <> 'ahead'").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 @query("select image_id::bigint as image_id, caption from samples where split = 'train' and caption is not null and image_id is not null")
 def approved_captions(spark, root):
     s = table(spark, root, "samples").filter("caption is not null and image_id is not null")
@@ -222,7 +238,7 @@ def approved_captions(spark, root):
 @query("select o_custkey as image_id, count(*) as tags, min(o_orderkey) as first_tag from orders group by 1")
 def instance_tables(spark, root):
     """Annotations of one document per group of orders, gathered by image."""
-    o = table(spark, root, "orders").withColumn("g", F.pmod("o_custkey", F.lit(16)))
+    o = table(spark, root, "orders").withColumn("g", F.floor(F.col("o_custkey") / 100))
     item = F.struct(F.col("o_custkey").alias("image_id"), F.col("o_orderkey").alias("id"), F.lit(1).alias("category_id"), F.col("o_totalprice").alias("area"), F.array(F.lit(0.0)).alias("bbox"))
     docs = o.groupBy("g").agg(F.collect_list(item).alias("annotations")).withColumns({"images": F.array(F.struct(F.col("g").alias("id"))), "categories": F.array(F.struct(F.lit(1).alias("id")))})
     tags = readers.instance_tables(docs)["tags"]
@@ -254,3 +270,82 @@ def json_texts(spark, root):
 @query("select event_id, substr(sha256(event_id || chr(31) || event_type), 1, 16) || '.png' as name from events")
 def output_names(spark, root):
     return table(spark, root, "events").select("event_id", sinks.output_name(F.col("event_id").cast("string"), F.col("event_type")).alias("name"))
+
+
+def _documents(spark, root) -> tuple[str, DataFrame]:
+    """A folder for each nation with its ``annotations.json``, which can't be read for every seventh; and the nations."""
+    path = scratch_path(spark, "folders")
+    nations = table(spark, root, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    for r in nations.collect():  # 25 rows
+        text = json.dumps({"name": r["n_name"], "region": r["n_regionkey"]})
+        sinks.document(spark, f"{path}/{r['n_nationkey']}/annotations.json", text[:9] if r["n_nationkey"] % 7 == 0 else text)
+    return path, nations
+
+
+@query("select n_name as name, n_regionkey::bigint as region from nation where n_nationkey % 7 <> 0 union all select null, null where false")
+def whole_documents(spark, root):
+    """Whole-file JSON; unreadable files are set apart, a missing path has no rows."""
+    path, _ = _documents(spark, root)
+    schema = "name string, region bigint"
+    found = readers.json_documents(spark, f"{path}/*/annotations.json", schema).unionByName(readers.json_documents(spark, f"{path}/none/*.json", schema))
+    return readers.quarantined(materialize(found, "read"))[0]
+
+
+@query("select n_nationkey::varchar as image_id, n_nationkey % 7 = 0 as unreadable, case when n_nationkey % 7 <> 0 then n_name end as name from nation")
+def picture_folders(spark, root):
+    path, _ = _documents(spark, root)
+    return readers.directory_documents(spark, path, "name string, region bigint").select("image_id", F.col("_corrupt_record").isNotNull().alias("unreadable"), "name")
+
+
+@query("select r_regionkey, r_name, n.c as nations from region left join (select n_regionkey, count(*) c from nation where false group by 1) n on r_regionkey = n_regionkey")
+def optional_tables(spark, root):
+    """A table that isn't there yet is empty, so what is joined to it stays."""
+    path = scratch_path(spark, "none")
+    counts = readers.read_or_empty(spark, f"{path}/counts.parquet", "r_regionkey int, nations bigint")
+    return table(spark, root, "region").select("r_regionkey", "r_name").join(counts, "r_regionkey", "left")
+
+
+@query("select r_regionkey, 'Describe ' || r_name || '.' as prompt, false as refused from region")
+def prompt_templates(spark, root):
+    """A template file filled for each region; one without the parts it needs is refused."""
+    path = scratch_path(spark, "prompts")
+    sinks.document(spark, f"{path}/good.json", json.dumps({"task_instruction": "Describe %s.", "io_structure": {"Input": "Output"}}))
+    sinks.document(spark, f"{path}/bad.json", json.dumps({"task_instruction": "Describe %s."}))
+    refused = []
+    for name in ("bad", "none"):
+        try:
+            readers.prompt_template(spark, f"{path}/{name}.json")
+        except (ValueError, FileNotFoundError) as e:
+            refused.append(type(e).__name__)
+    text = readers.prompt_template(spark, f"{path}/good.json")["task_instruction"]
+    return table(spark, root, "region").select("r_regionkey", F.format_string(text, "r_name").alias("prompt"), F.lit(refused != ["ValueError", "FileNotFoundError"]).alias("refused"))
+
+
+@query("select id, '/r/winoground/test/images/' || ltrim(image_0, '/') as image, '/r/winoground/test/annotations' as annotations from bench_pairs")
+def benchmark_paths(spark, root):
+    from pairloom.sources import registry
+
+    at = registry.location("/r", "winoground", registry.splits("winoground")[0])
+    return table(spark, root, "bench_pairs").select("id", F.concat(F.lit(at["images"] + "/"), F.ltrim("image_0", F.lit("/"))).alias("image"), F.lit(at["annotations"]).alias("annotations"))
+
+
+@query("select event_id::varchar as url, event_type as caption from events order by event_id limit 1234")
+def first_lines(spark, root):
+    """The first rows of a file without header, by their place in it."""
+    path = scratch_path(spark, "ordered")
+    rows = table(spark, root, "events").select("event_id", F.concat(F.col("event_id").cast("string"), F.lit("\t"), "event_type").alias("x"))
+    sinks.lines(rows.orderBy("event_id"), "x", path)
+    return readers.tsv(spark, path, "url string, caption string", limit=1234)
+
+
+@query(
+    """select image_id, caption, chunk_id from (select image_id, caption, ((row_number() over (order by sample_id) - 1) // 300)::int chunk_id from samples where split = 'train' and caption is not null) where chunk_id = 1
+  union all select image_id, caption, chunk_id from (select image_id, caption, ((row_number() over (order by sample_id) - 1) // 300)::int chunk_id from samples where split = 'train' and caption is not null) where chunk_id = 2"""
+)
+def cached_captions(spark, root):
+    """Captions built once and read by chunk; the second reading takes the kept ones."""
+    path = scratch_path(spark, "captions")
+    s = table(spark, root, "samples").filter("split = 'train' and caption is not null").select("sample_id", "image_id", "caption")
+    one = readers.cached_captions(spark, path, lambda: s, ["sample_id"], chunk=1, chunk_rows=300)
+    two = readers.cached_captions(spark, path, lambda: s.limit(0), ["sample_id"], chunk=2, chunk_rows=300)
+    return one.unionByName(two).select("image_id", "caption", "chunk_id")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from pairloom.operators.upserts import last_by
-from pairloom.operators.windows import keep_first
+from pairloom.operators.windows import keep_first, numbered
+from pairloom.session import materialize
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -60,9 +63,27 @@ def csv_pairs(spark: SparkSession, path: str, root: str, prefix: dict[str, str],
 
 
 def tsv(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
-    """A TSV file without header; ``limit`` rows of it if given, whichever come first to hand."""
+    """A TSV file without header; if ``limit`` is given, its first rows by file, place of the split in it, and place in the split."""
     rows = spark.read.schema(schema).option("sep", "\t").csv(path)
-    return rows.limit(limit) if limit else rows
+    if limit is None:
+        return rows
+    at = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
+    return first_rows(rows.select("*", at.alias("__at")), [F.col("__at.f"), F.col("__at.b"), F.col("__at.i")], limit).drop("__at")
+
+
+def first_rows(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows in an order, however many these are: rows are numbered by ranges, not in one task."""
+    placed = materialize(rows.select("*", *(c.alias(f"__o{i}") for i, c in enumerate(order))), "placed")  # what a scan says of its files stays as it is
+    return numbered(placed, [F.col(f"__o{i}") for i in range(len(order))], "__n").filter(F.col("__n") < n).select(*rows.columns)
+
+
+def cached_captions(spark: SparkSession, path: str, build: Callable[[], DataFrame], order: list[str], chunk: int | None = None, chunk_rows: int = 10_000, rebuild: bool = False) -> DataFrame:
+    """Captions that are built once and kept at ``path`` in chunks of ``chunk_rows`` rows; all of them, or the chunk with a number, of which only its folder is read."""
+    if rebuild or not exists(spark, f"{path}/_SUCCESS"):
+        rows = numbered(materialize(build(), "captions"), [F.col(c) for c in order], "__n")
+        rows.withColumn("chunk_id", F.floor(F.col("__n") / chunk_rows).cast("int")).drop("__n").write.mode("overwrite").partitionBy("chunk_id").parquet(path)
+    kept = spark.read.parquet(path)
+    return kept if chunk is None else kept.filter(F.col("chunk_id") == chunk)
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:

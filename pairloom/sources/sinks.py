@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairloom.functions.captions import CATEGORIES
 
@@ -43,3 +43,16 @@ def json_text(row: Column) -> Column:
 def output_name(*key: Column) -> Column:
     """A file name that no other key has, the same in every run."""
     return F.concat(F.substring(F.sha2(F.concat_ws("\x1f", *key), 256), 1, 16), F.lit(".png"))
+
+
+def document(spark: SparkSession, path: str, text: str) -> None:
+    """One small text file, written whole or not at all; an existing one is replaced."""
+    jvm = spark.sparkContext._jvm
+    at, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.draft")
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = files.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files.delete(at, False)
+    if not files.rename(draft, at):
+        raise OSError(f"could not write {path}")

@@ -16,6 +16,7 @@ from pairloom.functions import vectors as V
 from pairloom.operators import inlining, joins, metrics, skew, upserts, windows
 from pairloom.plans import annotations, dataset
 from pairloom.sources import adapters, readers, registry, sinks
+from pairloom.streaming import resume
 
 
 def value(spark, expr):
@@ -334,3 +335,45 @@ def test_queries_have_columns_of_their_sql(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_versions_merge_and_gaps_raise(spark, tmp_path, monkeypatch):
+    """What came before is never lost silently: a missing version raises, for the reader and for the next batch."""
+    import shutil
+
+    monkeypatch.setattr(resume, "WHOLE", 3)
+    src, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    run = lambda: resume.process_new(spark, src, "k bigint, v string", check, lambda b: b, out, ["k"]).awaitTermination()
+    for n in range(5):
+        spark.createDataFrame([(n, f"{n}"), (100, f"last {n}")], "k bigint, v string").write.mode("append").parquet(src)
+        run()
+    got = {r["k"]: r["v"] for r in resume.latest(spark, out, ["k"]).collect()}
+    assert got == {**{n: f"{n}" for n in range(5)}, 100: "last 4"} and (tmp_path / "out" / "whole=2").exists()
+    shutil.rmtree(tmp_path / "out" / "v=4")
+    spark.createDataFrame([(7, "7")], "k bigint, v string").write.mode("append").parquet(src)
+    with pytest.raises(Exception, match="missing"):
+        run()
+    shutil.rmtree(tmp_path / "out" / "v=3")
+    spark.createDataFrame([(4, "4")], "k bigint, v string").write.parquet(f"{out}/v=4")
+    with pytest.raises(FileNotFoundError):
+        resume.latest(spark, out, ["k"])
+
+
+def test_demos_of_each_class(spark):
+    rows = spark.range(60).select("id", (F.col("id") % 2).alias("c"), (F.col("id") % 3 == 0).alias("ok"), (F.col("id") / 60).alias("s"))
+    got = joins.class_demos(rows, ["c"], "ok", "s", [F.col("id")], 4, 1, F.col("id")).collect()
+    assert len(got) == 8 and sorted((r["c"], r["turn"]) for r in got) == [(c, t) for c in (0, 1) for t in (1, 2, 3, 4)]
+    best = {(c, ok): sorted((i for i in range(60) if i % 2 == c and (i % 3 == 0) == ok), reverse=True)[:6] for c in (0, 1) for ok in (True, False)}
+    assert all(r["id"] in best[r["c"], r["ok"]] for r in got)
+    assert joins.class_demos(rows.limit(0), ["c"], "ok", "s", [F.col("id")], 4, 1, F.col("id")).count() == 0
+
+
+def test_joins_of_sides_that_are_more_than_scans(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_LEAST", 10)
+    big = spark.range(1000).groupBy((F.col("id") % 7).alias("k"), "id").count()
+    small = spark.range(7).groupBy(F.col("id").alias("k")).agg(F.max("id").alias("v"))
+    assert skew.spread_join(big, small, ["k"], max_rows=3).count() == 1000
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 1)
+    assert skew.spread_join(big, small, ["k"]).count() == 1000
+    left, right = spark.range(300).select(F.lit(None).cast("int").alias("k"), F.col("id").alias("a")), spark.range(300).select(F.lit(1).alias("k"), F.col("id").alias("b"))
+    assert skew.pair_join(left, right, ["k"], "a", "b", 10).count() == 0 and skew.pair_join(right.withColumnRenamed("b", "a"), right, ["k"], "a", "b", 10).count() == 90_000
