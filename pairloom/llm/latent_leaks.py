@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.session import materialize
+from pairloom.session import dealt_out, materialize
 
 STEP = 10
 #: Hashed vocabulary, dimensions of the latent space, extra directions of the random projection.
@@ -204,7 +204,7 @@ class LatentIndex:
     def __init__(self, docs: DataFrame, key: str, text: str):
         kind = f"{key} {docs.schema[key].dataType.simpleString()}, norm string, t array<int>"
         self.key = key
-        self.tokens = materialize(docs.filter(F.col(text).isNotNull()).select(key, text).mapInArrow(_tokens, kind), "tokens")
+        self.tokens = materialize(dealt_out(docs.filter(F.col(text).isNotNull()).select(key, text)).mapInArrow(_tokens, kind), "tokens")
         counts = self.tokens.select("t").mapInArrow(_frequencies, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()  # TERMS + 2 rows at most
         counts = dict(zip(counts["term"], counts["n"]))
         self.docs, self.words = counts.pop(-1, 0), counts.pop(-2, 0)
