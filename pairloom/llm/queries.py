@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairloom.functions.text import main_category, plain, sub_category
 from pairloom.llm import cutoffs, format_ledger, latent_leaks, mixing, quota_sample, records, residue, response_defects, split_overlap
+from pairloom.session import materialize
 from pairloom.sources.tables import table
 
 GROUP = ["source", "category"]
@@ -30,7 +31,7 @@ def p1_cutoffs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _cells(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    found = records.negative_records(table(spark, root, "samples")).select("edited_image_path", *CELL)
+    found = materialize(records.negative_records(table(spark, root, "samples")).select("edited_image_path", *CELL), "negatives")
     targets = table(spark, root, "sample_targets").select(main_category(F.col("category")).alias("category"), sub_category(F.col("sub_category")).alias("sub_category"), "target_permille", "min_rows")
     return found, quota_sample.quota_cells(found, targets, CELL)
 
