@@ -1,7 +1,7 @@
 """Defects of answers to edit instructions (problem 3).
 
-Method: openings of answers that share hardly a word with their prompt are clustered by MinHash
-over their words; links of verified similarity join clusters transitively. A cluster is judged as a
+Method: openings of answers that share hardly a word with their prompt are clustered by the rarest
+of their words, an exact bottom-k sketch; links of verified similarity join clusters transitively. A cluster is judged as a
 whole: a template that recurs across unrelated prompts is a refusal if its texts mostly speak in
 the first person or negate, and one that is too rare to recur if they say in so many words that
 they decline. A refusal is an answer with an opening in such a cluster, and nothing else; the
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.llm.components import components
-from pairloom.operators.skew import spread_join
+from pairloom.operators.skew import pair_join, spread_join
 from pairloom.session import dealt_out, materialize
 
 #: Words of an answer's openings: a template may go on in free words after a short one, and only a longer one may differ in a word.
@@ -31,9 +31,15 @@ OPENINGS = (8, 12, 24)
 BRIEF = 3
 #: Least similarity, as word sets, of two openings that are linked: of 9 words one may be replaced, of 4 one may be put in.
 SIMILARITY = 0.8
-HASHES, BANDS = 36, 12
-#: Members of a band that each of its members is compared with; members of one cluster meet in other bands and over other members too.
+#: Rarest common words that two openings meet by. Sets with fewer words than these are linked with equal ones only, as they are at any similarity over 2/3.
+KEY_WORDS = 3
+#: Pairs per row up to which the buckets' pairs are all compared at once; beyond, most are spared by clusters found before.
+PAIRS_A_ROW = 64
+#: Members of a bucket that its members are compared with to find those clusters. They save work only; all pairs of different clusters follow.
 CENTRES = 16
+#: What is known of an opening beside its words: three sketches of independent hashes, by which few pairs have to be counted in vain.
+SKETCHES = ("sketch0", "sketch1", "sketch2")
+ROW = ("id", "opening", "size", *SKETCHES)
 #: Stands in an opening for a word of the prompt that isn't a function word.
 SLOT = "_"
 #: An opening is foreign to its prompt if it shares no more than this part of its words with it.
@@ -264,34 +270,75 @@ def weak_cue(text: str, phrase: bool) -> bool:
     return STRONG.search(low) is not None or len(WEAK.findall(low)) >= (2 if phrase else 1)
 
 
-def opening_links(openings: DataFrame) -> DataFrame:
-    """Verified links ``(a, b, kind)`` between distinct openings: columns opening, kind.
+def _keyed(openings: DataFrame) -> DataFrame:
+    """The openings, a row for each key that may lead to a similar one: ``ROW``, kind, key.
 
-    Openings get MinHash signatures over their words. In each band of the signature an opening is compared with
-    up to ``CENTRES`` members drawn by hash, so no bucket is expanded to pairs; a similarity of
-    ``SIMILARITY`` or more, counted exactly, makes a link.
+    Words are in one order for all, rare ones first. Of two sets with ``SIMILARITY`` the first
+    ``KEY_WORDS`` common words stand in either among as many words more as that set may lack in the other, so
+    the combinations of ``KEY_WORDS`` words from there miss no pair. A sketch has a bit for the parity
+    of the words of a hash: two sketches differ in no more bits than the sets in words.
     """
-    sets = openings.select("opening", "kind", F.array_distinct(F.split("opening", " ")).alias("set"))
-    # The lambda has one parameter, as Spark would pass the word's position as a second one.
-    hashed = lambda k: F.transform("set", lambda s: F.xxhash64(F.lit(k), s))
-    mins = [F.array_min(hashed(k)) for k in range(HASHES)]
-    rows_ = HASHES // BANDS
-    bands = F.array(*[F.xxhash64(F.lit(b), *mins[b * rows_ : (b + 1) * rows_]) for b in range(BANDS)])
-    banded = materialize(sets.select("opening", "kind", "set", F.explode(bands).alias("band")), "bands")
-    # The band in the hash: members that share a place in one band have places of their own in another.
-    place = F.pmod(F.xxhash64("band", "opening"), F.lit(CENTRES))
-    centres = banded.groupBy("band", "kind", place.alias("place")).agg(F.min(F.struct("opening", "set")).alias("head"))
-    centres = centres.groupBy("band", "kind").agg(F.collect_list("head").alias("heads"))  # CENTRES at most
+    words_of = F.array_distinct(F.split("opening", " "))
+    sketches = [F.expr(f"aggregate(set, 0L, (s, w) -> s ^ shiftleft(1L, cast(pmod(xxhash64({k}, w), 64) as int)))").alias(name) for k, name in enumerate(SKETCHES)]
+    sets = openings.select(F.monotonically_increasing_id().alias("id"), "opening", "kind", words_of.alias("set"))
+    sets = materialize(sets.select("*", F.size("set").alias("size"), *sketches), "sets")
+    words = sets.select("id", F.explode("set").alias("word"))
+    ranked = spread_join(words, words.groupBy("word").agg(F.count("*").alias("n")), ["word"])
+    ranked = ranked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "word"))).alias("ranked"))  # one opening's words
+    first = F.slice(F.col("ranked.word"), F.lit(1), F.col("size") - F.ceil(SIMILARITY * F.col("size") - 1e-9).cast("int") + KEY_WORDS)
+    # Three words of the array, in order.
+    keys = F.expr("flatten(transform(p, (x, i) -> flatten(transform(slice(p, i + 2, 99), (y, j) -> transform(slice(p, i + j + 3, 99), z -> xxhash64(x, y, z))))))")
+    keys = F.when(F.col("size") < KEY_WORDS, F.array(F.xxhash64("p"))).otherwise(keys)
+    return materialize(sets.join(ranked, "id").select(*ROW, "kind", first.alias("p")).select(*ROW, "kind", F.explode(keys).alias("key")), "keys")
+
+
+def _side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+    return rows.select("key", "kind", *(F.col(c).alias(f"{name}_{c}") for c in (*ROW, *more)))
+
+
+def _near(pairs: DataFrame) -> DataFrame:
+    """The pairs of ``_side`` columns whose sets have ``SIMILARITY``, each once; the sketches spare most counts and no pair."""
+    most = F.lit((1 - SIMILARITY) / (1 + SIMILARITY)) * (F.col("a_size") + F.col("b_size")) + 1e-9
+    for c in SKETCHES:
+        pairs = pairs.filter(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) <= most)
+    a, b = F.split("a_opening", " "), F.split("b_opening", " ")
     return (
-        spread_join(banded, centres.filter(F.size("heads") > 1), ["band", "kind"])
-        .select("opening", "kind", "set", F.explode("heads").alias("head"))
-        .filter(F.col("opening") != F.col("head.opening"))
-        .filter(F.size(F.array_intersect("set", "head.set")) >= SIMILARITY * F.size(F.array_union("set", "head.set")))
-        .select(F.col("head.opening").alias("a"), F.col("opening").alias("b"), "kind")
+        pairs.filter(F.size(F.array_intersect(a, b)) >= SIMILARITY * F.size(F.array_union(a, b)))
+        .select("a_id", "b_id", F.col("a_opening").alias("a"), F.col("b_opening").alias("b"), "kind")
         .distinct()
     )
 
 
+def opening_links(openings: DataFrame) -> DataFrame:
+    """Verified links ``(a, b, kind)`` between distinct openings: columns opening, kind.
+
+    Two openings are joined by the links, be it over others, exactly if pairs of ``SIMILARITY`` or more join
+    them. Those with a key in common are candidates. If these are few, each is verified, and every pair is a link.
+    Else members of a bucket are first compared with ``CENTRES`` of it, drawn by hash; pairs that links join by then need no other, and all
+    pairs in a bucket that they don't join are verified, in blocks: members outside of its largest cluster with all.
+    """
+    keyed = _keyed(openings)
+    buckets = materialize(keyed.groupBy("key", "kind").agg(F.count("*").alias("m")).filter("m > 1"), "buckets")
+    rows, pairs = buckets.select(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.expr("m * (m - 1D) / 2")), F.lit(0.0))).first()
+    keyed = materialize(spread_join(keyed, buckets.drop("m"), ["key", "kind"], "left_semi"), "shared-keys")
+    if pairs <= PAIRS_A_ROW * rows:
+        return _near(pair_join(_side(keyed, "a"), _side(keyed, "b"), ["key", "kind"], "a_id", "b_id").filter("a_id < b_id")).select("a", "b", "kind")
+    # The key in the hash: members that share a place in one bucket have places of their own in another.
+    place = F.pmod(F.xxhash64("key", "id"), F.lit(CENTRES))
+    centres = keyed.groupBy("key", "kind", place.alias("place")).agg(F.min(F.struct(*ROW)).alias("head"))
+    centres = centres.groupBy("key", "kind").agg(F.collect_list("head").alias("heads"))  # CENTRES at most
+    met = spread_join(_side(keyed, "b"), centres, ["key", "kind"]).withColumn("head", F.explode("heads"))
+    met = met.select("*", *(F.col(f"head.{c}").alias(f"a_{c}") for c in ROW)).filter("a_id <> b_id")
+    near = materialize(_near(met), "near")
+    roots = components(near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))).withColumnRenamed("node", "id")
+    placed = materialize(spread_join(keyed, roots, ["id"], "left").withColumn("root", F.coalesce("root", "id")), "placed")
+    main = placed.groupBy("key", "kind", "root").agg(F.count("*").alias("n")).groupBy("key", "kind").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots"))
+    rest = materialize(spread_join(placed, main.filter("roots > 1").drop("roots"), ["key", "kind"]), "apart")
+    others = pair_join(_side(rest.filter("root <> main"), "a", "root", "main"), _side(rest, "b", "root"), ["key", "kind"], "a_id", "b_id")
+    others = others.filter("a_root <> b_root and (b_root = a_main or a_id < b_id)")
+    return near.unionByName(_near(others)).select("a", "b", "kind").distinct()
+
+
 def refusal_templates(found: DataFrame) -> DataFrame:
     """The openings that belong to a refusal template: opening, kind.
 

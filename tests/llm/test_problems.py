@@ -210,6 +210,42 @@ def test_links_against_brute_force(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("pairs_a_row", [64, 0])
+@pytest.mark.parametrize("crowd", [True, False])
+def test_links_join_all_that_brute_force_joins(spark, monkeypatch, pairs_a_row, crowd):
+    """None is missed, among hundreds that share ten words of twelve or at any length; the pairs compared at once and those after clusters."""
+    monkeypatch.setattr(response_defects, "PAIRS_A_ROW", pairs_a_row, raising=False)
+    r = random.Random(7)
+    if crowd:
+        common = [f"c{i}" for i in range(10)]
+        texts = {" ".join([*common, f"own{i}", last]) for i in range(300) for last in (f"x{i}", f"y{i}")}
+    else:
+        texts = set()
+        for n in range(1, 25):
+            for _ in range(6):
+                base = r.sample([f"w{i}" for i in range(30)], n)
+                for _ in range(4):
+                    w = [x for x in base if r.random() < 0.95] + [f"w{r.randrange(30)}"] * r.randrange(2)
+                    r.shuffle(w)
+                    texts.add(" ".join(w or base))
+    sets = {t: set(t.split()) for t in texts}
+    want = {(a, b) for a in texts for b in texts if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    rows = spark.createDataFrame([(t, kind) for t in sorted(texts) for kind in (0, 1)], "opening string, kind int")
+    links = response_defects.opening_links(rows).collect()
+    for kind in (0, 1):
+        got = {tuple(sorted((x["a"], x["b"]))) for x in links if x["kind"] == kind}
+        assert got <= want and len(want) > 250 and (pairs_a_row == 0 or got == want)
+        assert _joined(texts, got) == _joined(texts, want)
+
+
+def _joined(nodes, edges):
+    root = {n: n for n in nodes}
+    for a, b in edges:
+        low, high = sorted((root[a], root[b]))
+        root = {n: low if x == high else x for n, x in root.items()}
+    return root
+
+
 def test_templates_that_recur_across_prompts(spark):
     rows = [(i, f"{w} stands beside a {w}ish fence", "x", f"a {w}", "There isn't much that I would alter in here") for i, w in enumerate("dog cat bus cow hen".split())]
     rows += [(10 + i, f"{w} stands beside a fence", w, "a green kite", f"{w} flies a green kite.") for i, w in enumerate("dog cat bus cow hen".split())]
